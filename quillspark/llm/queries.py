@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _spark
-from . import quality_embeddings, toxic_crf, decontaminate
+from . import decontaminate, quality_embeddings, quotient_dedup, suffix_dedup, toxic_crf
 from .sql import SQL
 
 
+def op3_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotient_dedup.duplicates(_spark.read(spark, sf_dir, "documents"))
+
+
 def op5_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _spark.read(spark, sf_dir, "documents")
     return toxic_crf.spans(docs, toxic_crf.fit(docs, _spark.read(spark, sf_dir, "labels")))
@@ -27,6 +31,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_spark.read(spark, sf_dir, "documents"), decontaminate.fit(_spark.read(spark, sf_dir, "benchmark")))
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(_spark.read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for k, f in sorted(globals().items()) if k.startswith("op") and k[2:3].isdigit()}
 

@@ -1 +1,9 @@
-SQL: dict[str, str] = {}
+"""SQL of the operators that SQL can express, for DuckDB."""
+
+SQL: dict[str, str] = {
+    "op3_exact_duplicates": """
+        SELECT DISTINCT doc_id, first AS duplicate_of
+        FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+        WHERE doc_id > first
+    """,
+}

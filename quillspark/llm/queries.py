@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _spark
-from . import decontaminate, quality_embeddings, quotient_dedup, suffix_dedup, toxic_crf
+from . import decontaminate, jaccard_join, line_dedup, quality_embeddings, quotient_dedup, suffix_dedup, toxic_crf
 from .sql import SQL
 
 
@@ -15,6 +15,10 @@ def op3_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotient_dedup.duplicates(_spark.read(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(_spark.read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _spark.read(spark, sf_dir, "documents")
     return toxic_crf.spans(docs, toxic_crf.fit(docs, _spark.read(spark, sf_dir, "labels")))
@@ -27,6 +31,10 @@ def op6_quality_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(found.p_quality >= quality_embeddings.THRESHOLD)
 
 
+def op7_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.pairs(_spark.read(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_spark.read(spark, sf_dir, "documents"), decontaminate.fit(_spark.read(spark, sf_dir, "benchmark")))
 

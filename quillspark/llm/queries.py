@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _spark
-from . import decontaminate, jaccard_join, line_dedup, quality_embeddings, quotient_dedup, suffix_dedup, toxic_crf
+from . import decontaminate, jaccard_join, line_dedup, mixing, quality_embeddings, quotient_dedup, suffix_dedup, toxic_crf
 from .sql import SQL
 
 
+def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_spark.read(spark, sf_dir, "documents")).select("doc_id", "source", "mix_epoch", "mix_block", "mix_place")
+
+
 def op3_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotient_dedup.duplicates(_spark.read(spark, sf_dir, "documents"))
 

@@ -1,16 +1,30 @@
-"""From raw documents to a training mixture: the stages of the corpus pipeline."""
+"""From raw documents to a training mixture: the stages of the corpus pipeline.
+
+Each stage takes the session, the documents that its predecessor kept, and the
+data folder, and works on all of them.  All but the last return the columns of
+documents; the last adds the mixture's epoch, block and place.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import _spark, decontaminate, quality_embeddings
+from quillspark.llm import _spark, decontaminate, jaccard_join, line_dedup, mixing, quality_embeddings
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
-    model = quality_embeddings.fit(docs, _spark.read(spark, sf_dir, "labels"))
-    return quality_embeddings.keep(docs, model)
+    return quality_embeddings.keep(docs, quality_embeddings.fit(docs, _spark.read(spark, sf_dir, "labels")))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without blocks of lines that an earlier one holds."""
+    return line_dedup.dedup(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return jaccard_join.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,13 +32,27 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.clean(docs, decontaminate.fit(_spark.read(spark, sf_dir, "benchmark")))
 
 
-STAGES = [("quality classifier", quality), ("benchmark decontamination", decontamination)]
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture of their sources takes them."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixture),
+]
+#: The classifier, patience diff and the joins' sketches have no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, applied to the documents table."""
+    """All stages, one after the other, applied to the documents table; each stage's result is written and read again."""
     docs = _spark.read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = _spark.checkpoint(docs)
     return docs

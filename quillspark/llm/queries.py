@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _spark
-from . import decontaminate, jaccard_join, line_dedup, mixing, quality_embeddings, quotient_dedup, suffix_dedup, toxic_crf
+from . import decontaminate, html_extract, jaccard_join, line_dedup, mixing, quality_embeddings, quotient_dedup, suffix_dedup, toxic_crf, url_filter
 from .sql import SQL
 
 
+def op1_url_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.decide(_spark.read(spark, sf_dir, "pages"))
+
+
 def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_spark.read(spark, sf_dir, "documents")).select("doc_id", "source", "mix_epoch", "mix_block", "mix_place")
 
@@ -39,6 +43,10 @@ def op7_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.pairs(_spark.read(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_spark.read(spark, sf_dir, "pages"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_spark.read(spark, sf_dir, "documents"), decontaminate.fit(_spark.read(spark, sf_dir, "benchmark")))
 

@@ -1,6 +1,48 @@
 """SQL of the operators that SQL can express, for DuckDB."""
 
 SQL: dict[str, str] = {
+    "op1_url_decisions": r"""
+        WITH RECURSIVE
+        link AS (
+            SELECT url, unnest([
+                regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1),
+                regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?\s*([^"''\s>;]+)', 1)]) AS to_url
+            FROM pages WHERE url IS NOT NULL AND html IS NOT NULL AND trim(url) <> ''
+        ),
+        near AS (SELECT url, to_url, regexp_replace(regexp_replace(trim(url), '[?#].*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*:)?//', '') AS bare FROM link WHERE to_url <> ''),
+        target AS (
+            SELECT url, CASE
+                WHEN regexp_matches(to_url, '^([A-Za-z][A-Za-z0-9+.-]*:)?//') THEN to_url
+                WHEN to_url LIKE '/%' THEN regexp_extract(bare, '^[^/]*') || to_url
+                WHEN to_url LIKE '?%' OR to_url LIKE '#%' THEN bare || to_url
+                WHEN contains(bare, '/') THEN regexp_replace(bare, '[^/]*$', '') || to_url
+                ELSE bare || '/' || to_url END AS to_url
+            FROM near
+        ),
+        address AS (SELECT DISTINCT coalesce(url, '') AS u FROM pages UNION SELECT to_url FROM target),
+        bare AS (SELECT u, regexp_replace(regexp_replace(trim(u), '#.*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*:)?//', '') AS b FROM address),
+        keyed AS (
+            SELECT u, regexp_replace(lower(regexp_extract(b, '^[^/?]*')), '^www\.|:(80|443)$', '', 'g') || regexp_replace(regexp_replace(
+                regexp_replace(regexp_extract(b, '^[^/?]*(.*)$', 1), '[?&](utm_[A-Za-z]+|ref|fbclid|gclid)=[^&]*', '', 'g'), '^([^?&]*)&', '\1?'), '/+$', '') AS key
+            FROM bare
+        ),
+        edge AS (
+            SELECT DISTINCT x.key AS a, y.key AS b FROM target t JOIN keyed x ON x.u = t.url JOIN keyed y ON y.u = t.to_url WHERE x.key <> '' AND y.key <> ''
+        ),
+        both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+        reach AS (SELECT a, a AS b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+        rooted AS (SELECT a AS key, min(b) AS root FROM reach GROUP BY a),
+        named AS (
+            SELECT key, coalesce(root, key) AS root,
+                regexp_matches(regexp_extract(key, '^[^/?]*'), '(^|\.)(m\.ads-track\.example\.com)$') AS allowed,
+                regexp_matches(regexp_extract(key, '^[^/?]*'), '(^|\.)(ads-track|casino-win|cheap-pills|free-bets)\.example\.com$') AS blocked
+            FROM (SELECT DISTINCT key FROM keyed) LEFT JOIN rooted USING (key)
+        ),
+        bad AS (SELECT DISTINCT root FROM named WHERE blocked AND NOT allowed AND key IN (SELECT key FROM rooted))
+        SELECT page_id, url, n.root AS alias_of,
+            CASE WHEN n.allowed THEN 'allow' WHEN n.blocked OR bad.root IS NOT NULL THEN 'block' ELSE 'pass' END AS decision
+        FROM pages JOIN keyed k ON k.u = coalesce(url, '') JOIN named n ON n.key = k.key LEFT JOIN bad ON bad.root = n.root
+    """,
     "op2_mixture": """
         WITH RECURSIVE
         tok AS (SELECT doc_id, source, text, len(regexp_extract_all(text, '[^ \\t\\n\\r]+'))::BIGINT AS n FROM documents),

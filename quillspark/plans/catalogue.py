@@ -1,9 +1,331 @@
 """Registered queries of the search engine and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from quillspark.functions import analyzer, scoring
+from quillspark.operators import indexing
+from quillspark.operators.indexing import Index
+from quillspark.plans import search
+from quillspark.plans.parser import parse
+from quillspark.plans.planner import compile_query, top_per_segment
+from quillspark.sources import jsonl
+
+#: Documents of a segment in the queries about segments, and in those that have only one.
+SEGMENT, WHOLE = 250, 1 << 40
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _add(name: str, sql: str | None) -> Callable:
+    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return put
+
+
+def _docs(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _index(spark: SparkSession, sf_dir: str, segment: int = WHOLE) -> Index:
+    return indexing.build(_docs(spark, sf_dir).select("doc_id", "text"), ["text"], segment_docs=segment)
+
+
+def _terms_sql(text: str) -> str:
+    return rf"[x FOR x IN regexp_split_to_array(lower(translate(coalesce({text}, ''), 'İΣ', 'iσ')), '[^\p{{L}}\p{{N}}]+') IF x <> '']"
+
+
+def _with(segment: int = WHOLE, source: str = "documents", key: str = "doc_id", terms: str | None = None) -> str:
+    """The index as common table expressions."""
+    return f"""
+        WITH tok AS (SELECT {key}::BIGINT AS doc_id, ({key} // {segment})::BIGINT AS segment_id, {terms or _terms_sql("text")} AS toks FROM {source}),
+        len AS (SELECT doc_id, segment_id, len(toks)::INT AS dl, least(255, floor(log2(len(toks) + 1.0) * 16))::INT AS norm FROM tok),
+        docs AS (SELECT *, CASE WHEN norm = 0 THEN 0 ELSE greatest(1, round(pow(2.0, norm / 16.0) - 1.0))::INT END AS ndl FROM len),
+        word AS (SELECT doc_id, segment_id, unnest(toks) AS term FROM tok),
+        postings AS (SELECT w.segment_id, w.term, w.doc_id, count(*)::INT AS tf, any_value(d.ndl) AS ndl FROM word w JOIN docs d USING (doc_id) GROUP BY w.segment_id, w.term, w.doc_id),
+        terms AS (SELECT segment_id, term, count(*) AS df FROM postings GROUP BY segment_id, term),
+        segments AS (SELECT segment_id, count(*) AS doc_count, sum(dl)::BIGINT AS total_tokens, sum(dl)::DOUBLE / count(*) AS avgdl, min(doc_id) AS min_doc_id, max(doc_id) AS max_doc_id FROM docs GROUP BY segment_id),
+        total AS (SELECT sum(doc_count)::BIGINT AS n FROM segments),
+        scored AS (
+            SELECT p.segment_id, p.term, p.doc_id, n >= 1000 AND t.df / n::DOUBLE > 0.5 AS common,
+                ln((n - t.df + 0.5::DOUBLE) / (t.df + 0.5::DOUBLE) + 1.0::DOUBLE) * (p.tf * 2.2::DOUBLE) / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * p.ndl / s.avgdl)) AS c
+            FROM postings p JOIN terms t USING (segment_id, term) JOIN segments s USING (segment_id), total
+        )"""
+
+
+_SUM = "round(sum(c::DECIMAL(18,9))::DOUBLE, 6)"
+
+
+def _in(*words: str) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def _page(found: str, limit: int = 10, offset: int = 0, segment: int = WHOLE, extra: str = "") -> str:
+    """The best of the rows of a table expression ``found``(segment_id, doc_id, score)."""
+    return f"{_with(segment)}{extra}, found AS ({found}) SELECT doc_id, score FROM found ORDER BY score DESC, doc_id LIMIT {limit} OFFSET {offset}"
+
+
+def _or(*words: str) -> str:
+    return f"SELECT segment_id, doc_id, {_SUM} AS score FROM scored WHERE term IN ({_in(*words)}) AND NOT common GROUP BY segment_id, doc_id"
+
+
+def _and(*words: str) -> str:
+    """All of the words but the too common; an unknown word is never met."""
+    return f"""SELECT segment_id, doc_id, {_SUM} AS score FROM scored WHERE term IN ({_in(*words)}) AND NOT common GROUP BY segment_id, doc_id
+        HAVING count(*) = {len(set(words))} - (SELECT count(*) FROM terms t, total WHERE t.segment_id = scored.segment_id AND t.term IN ({_in(*words)}) AND n >= 1000 AND t.df / n::DOUBLE > 0.5)"""
+
+
+def _hits(name: str, query: str, found: str, limit: int = 10, offset: int = 0, segment: int = WHOLE, compat: bool = False) -> None:
+    @_add(name, _page(found, limit, offset, segment))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return search.ranked(_index(spark, sf_dir, segment), query, limit, offset, compat)
+
+
+def _matches(name: str, query: str, found: str, compat: bool = False) -> None:
+    """The number of matches, for queries that may have none."""
+
+    @_add(name, f"{_with()}, found AS ({found}) SELECT count(*) AS matches FROM found")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return compile_query(_index(spark, sf_dir), parse(query), 10, compat).agg(F.count("*").alias("matches"))
+
+
+_hits("search_term", "that", _or("that"))
+_hits("search_or", "from OR ther", _or("from", "ther"))
+_hits("search_or_3", "from or ther or pour", _or("from", "ther", "pour"))
+_hits("search_or_dup", "from OR from", f"SELECT segment_id, doc_id, round(sum((c * 2)::DECIMAL(18,9))::DOUBLE, 6) AS score FROM scored WHERE term = 'from' AND NOT common GROUP BY segment_id, doc_id")
+_hits("search_and", "from that", _and("from", "that"))
+_hits("search_and_3", "from AND that AND ther", _and("from", "that", "ther"))
+_hits("search_and_pruned", "the from", _and("the", "from"))
+_hits("search_not", "that NOT from", f"SELECT * FROM ({_or('that')}) f WHERE doc_id NOT IN (SELECT doc_id FROM postings WHERE term = 'from')")
+_hits("search_not_common", "that NOT the", f"SELECT * FROM ({_or('that')}) f WHERE doc_id NOT IN (SELECT doc_id FROM postings WHERE term = 'the')")
+_hits("search_nested_fix", "(from OR ther) AND that", f"SELECT a.segment_id, a.doc_id, round(a.score + b.score, 6) AS score FROM ({_or('that')}) a JOIN ({_or('from', 'ther')}) b USING (segment_id, doc_id)")
+_hits("search_nested_compat", "(from OR ther) AND that", _and("from", "ther", "that"), compat=True)
+_hits("search_nested_not", "that NOT (from ther)", f"SELECT * FROM ({_or('that')}) f WHERE doc_id NOT IN (SELECT doc_id FROM ({_and('from', 'ther')}))")
+_hits(
+    "search_or_nested_max",
+    "ther OR (from that)",
+    f"SELECT segment_id, doc_id, max(score) AS score FROM ((SELECT * FROM ({_or('ther')}) ORDER BY score DESC, doc_id LIMIT 10) UNION ALL (SELECT * FROM ({_and('from', 'that')}) ORDER BY score DESC, doc_id LIMIT 10)) GROUP BY segment_id, doc_id",
+)
+_hits("search_page2", "that", _or("that"), limit=5, offset=5)
+_hits("search_segmented", "from OR ther", _or("from", "ther"), segment=SEGMENT)
+_matches("search_pruned_term", "the", _or("the"))
+_matches("search_and_missing", "that zzzunknown", _and("that", "zzzunknown"))
+_matches("search_only_not", "NOT that NOT from", "SELECT 1 WHERE false")
+_matches("search_underscore", "that_from", _or("that_from"))
+
+
+@_add("tokenize_positions", rf"SELECT doc_id, (generate_subscripts(t, 1) - 1)::INT AS position, unnest(t) AS term FROM (SELECT doc_id, {_terms_sql('text')} AS t FROM documents)")
+def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyzer.positions(_docs(spark, sf_dir), "doc_id", "text")
+
+
+@_add("term_freq", f"{_with()} SELECT doc_id, term, tf FROM postings")
+def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).postings.select("doc_id", "term", "tf")
+
+
+@_add("doc_length", f"{_with()} SELECT doc_id, dl FROM docs")
+def _dl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).docs.select("doc_id", "dl")
+
+
+@_add("doc_freq", f"{_with(SEGMENT)} SELECT segment_id, term, df FROM terms")
+def _df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir, SEGMENT).terms
+
+
+@_add("corpus_stats", f"{_with(SEGMENT)} SELECT n AS total_docs, (SELECT count(*) FROM segments) AS total_segments, (SELECT count(*) FROM terms) AS total_terms FROM total")
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexing.stats(_index(spark, sf_dir, SEGMENT))
+
+
+@_add("segment_meta", f"{_with(SEGMENT)} SELECT segment_id, doc_count, total_tokens, round(avgdl, 6) AS avgdl, min_doc_id, max_doc_id, (SELECT count(*) FROM terms t WHERE t.segment_id = s.segment_id) AS term_count FROM segments s")
+def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir, SEGMENT)
+    return indexing.segments_of(index.docs, index.terms).withColumn("avgdl", F.round("avgdl", 6))
+
+
+@_add("norm_roundtrip", f"{_with()} SELECT doc_id, dl, norm, ndl FROM docs")
+def _norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).docs.select("doc_id", "dl", "norm", "ndl")
+
+
+@_add("idf_table", f"{_with()} SELECT term, df, round(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1.0::DOUBLE), 9) AS idf FROM terms, total")
+def _idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    n = index.segments.agg(F.sum("doc_count").alias("n"))
+    return index.terms.crossJoin(F.broadcast(n)).select("term", "df", F.round(scoring.idf(F.col("df"), F.col("n")), 9).alias("idf"))
+
+
+@_add("term_dict", f"{_with(SEGMENT)} SELECT segment_id, row_number() OVER (PARTITION BY segment_id ORDER BY term) - 1 AS term_id, term, df FROM terms")
+def _dict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexing.dictionary(_index(spark, sf_dir, SEGMENT))
+
+
+@_add("term_lookup", f"{_with()}, ids AS (SELECT row_number() OVER (ORDER BY term) - 1 AS term_id, term, df FROM terms) SELECT term_id, term, df FROM ids WHERE term IN ('that', 'from', 'zzzunknown')")
+def _lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexing.dictionary(_index(spark, sf_dir)).where(F.col("term").isin("that", "from", "zzzunknown")).select("term_id", "term", "df")
+
+
+@_add("seek_ge", f"{_with()} SELECT min(doc_id) AS doc_id FROM postings WHERE term = 'that' AND doc_id >= 100")
+def _seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexing.seek(_index(spark, sf_dir), "that", 100)
+
+
+@_add("df_ceiling_terms", f"{_with()} SELECT term, df FROM terms, total WHERE n >= 1000 AND df / n::DOUBLE > 0.5")
+def _ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    n = index.segments.agg(F.sum("doc_count").alias("n"))
+    return index.terms.crossJoin(F.broadcast(n)).where(scoring.over_ceiling(F.col("df"), F.col("n"))).select("term", "df")
+
+
+@_add("segment_topk", f"{_with(SEGMENT)}, found AS ({_or('from', 'ther')}) SELECT segment_id, doc_id, score FROM found QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY score DESC, doc_id) <= 10")
+def _topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_per_segment(compile_query(_index(spark, sf_dir, SEGMENT), parse("from OR ther"), 10), 10)
+
+
+@_add(
+    "hits_compat",
+    f"{_with(SEGMENT)}, found AS ({_or('from', 'ther')}), kept AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY score DESC, doc_id) <= 10) SELECT (SELECT count(*) FROM kept) AS total_hits, (SELECT count(*) FROM found) AS total_matches",
+)
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.counts(_index(spark, sf_dir, SEGMENT), "from OR ther")
+
+
+@_add("merge_equals_single", "SELECT 0::BIGINT AS differing")
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged, single = indexing.merge(_index(spark, sf_dir, SEGMENT)), _index(spark, sf_dir)
+    a = merged.terms.select("term", "df").exceptAll(single.terms.select("term", "df"))
+    b = single.docs.select("doc_id", "dl", "norm").exceptAll(merged.docs.select("doc_id", "dl", "norm"))
+    return a.select("term").unionByName(b.select(F.col("doc_id").cast("string").alias("term"))).agg(F.count("*").alias("differing"))
+
+
+@_add(
+    "merge_id_remap",
+    f"{_with(SEGMENT)}, base AS (SELECT segment_id, min_doc_id, coalesce(sum(doc_count) OVER (ORDER BY segment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM segments) SELECT p.doc_id - min_doc_id + b AS doc_id, term, tf FROM postings p JOIN base USING (segment_id)",
+)
+def _remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexing.merge(_index(spark, sf_dir, SEGMENT)).postings.select("doc_id", "term", "tf")
+
+
+_BLOCKS = f"""{_with()}, b AS (SELECT *, (row_number() OVER (PARTITION BY segment_id, term ORDER BY doc_id) - 1) // 128 AS block_id FROM postings),
+    s AS (SELECT segment_id, term, block_id, count(*) AS postings, max(doc_id) AS last_doc_id, max(tf) AS max_tf, min(greatest(ndl, 1)) AS min_dl FROM b GROUP BY segment_id, term, block_id)"""
+
+
+@_add(
+    "block_summary",
+    f"""{_BLOCKS} SELECT segment_id, term, block_id, postings, last_doc_id, max_tf, min_dl,
+    round(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1.0::DOUBLE) * (max_tf * 2.2::DOUBLE) / (max_tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * min_dl / avgdl)), 6) AS max_score
+    FROM s JOIN terms USING (segment_id, term) JOIN segments USING (segment_id), total""",
+)
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexing.blocks(_index(spark, sf_dir))
+
+
+@_add("block_seek", f"{_BLOCKS} SELECT min(last_doc_id) AS last_doc_id FROM s WHERE term = 'that' AND last_doc_id >= 300")
+def _block_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexing.block_of(_index(spark, sf_dir), "that", 300)
+
+
+@_add("delta_gaps", f"{_with(SEGMENT)} SELECT segment_id, term, doc_id, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY segment_id, term ORDER BY doc_id) AS gap FROM postings")
+def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexing.gaps(_index(spark, sf_dir, SEGMENT))
+
+
+@_add("gap_decode", f"{_with(SEGMENT)} SELECT segment_id, term, doc_id, doc_id AS decoded FROM postings")
+def _decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexing.ungap(indexing.gaps(_index(spark, sf_dir, SEGMENT)))
+
+
+@_add(
+    "vbyte_size",
+    f"{_with()}, g AS (SELECT term, tf, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY segment_id, term ORDER BY doc_id) AS gap FROM postings), size AS (SELECT term, (CASE WHEN gap < 128 THEN 1 WHEN gap < 16384 THEN 2 WHEN gap < 2097152 THEN 3 WHEN gap < 268435456 THEN 4 ELSE 5 END) + (CASE WHEN tf < 128 THEN 1 WHEN tf < 16384 THEN 2 ELSE 3 END) AS b FROM g) SELECT term, sum(b)::BIGINT AS bytes FROM size GROUP BY term",
+)
+def _vbyte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    order = Window.partitionBy("segment_id", "term").orderBy("doc_id")
+    gap = F.col("doc_id") - F.lag("doc_id", 1, 0).over(order)
+    return index.postings.withColumn("gap", gap).groupBy("term").agg(F.sum(scoring.vbyte_size(F.col("gap")) + scoring.vbyte_size(F.col("tf"))).cast("bigint").alias("bytes"))
+
+
+@_add("dict_offsets", f"{_with()} SELECT segment_id, term, strlen(term)::INT AS term_bytes, (sum(strlen(term)) OVER (PARTITION BY segment_id ORDER BY term) - strlen(term))::BIGINT AS byte_offset FROM terms")
+def _offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexing.offsets(_index(spark, sf_dir))
+
+
+_BEST = f"{_with()}, found AS ({_or('from', 'ther')}), page AS (SELECT doc_id, score FROM found ORDER BY score DESC, doc_id LIMIT 10)"
+
+
+@_add("doc_fetch", f"{_BEST} SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id, score, text FROM page JOIN documents USING (doc_id)")
+def _fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.hits(_index(spark, sf_dir), "from OR ther").withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@_add("snippet", "SELECT doc_id, CASE WHEN strlen(coalesce(text, '')) > 200 THEN substr(text, 1, 200) || '...' ELSE coalesce(text, '') END AS snippet, substr(text, 1, 200) AS brief FROM documents")
+def _snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", search.snippet("text").alias("snippet"), search.brief("text").alias("brief"))
+
+
+@_add("title_fallback", "SELECT doc_id, coalesce(nullif(lang, 'en'), source, '(untitled)') AS title FROM documents")
+def _title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir).withColumn("title", F.nullif("lang", F.lit("en")))
+    return rows.select("doc_id", search.title("title", "source").alias("title"))
+
+
+def _sets(name: str, op: str, sql: str) -> None:
+    @_add(name, f"{_with()} SELECT doc_id FROM postings WHERE term = 'from' {sql} SELECT doc_id FROM postings WHERE term = 'that'")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        postings = _index(spark, sf_dir).postings
+        a, b = (postings.where(F.col("term") == t).select("doc_id") for t in ("from", "that"))
+        return {"and": a.intersect, "or": lambda x: a.union(x).distinct(), "not": a.subtract}[op](b)
+
+
+_sets("set_intersect", "and", "INTERSECT")
+_sets("set_union", "or", "UNION")
+_sets("set_except", "not", "EXCEPT")
+
+
+@_add("multi_field", f"{_with(source='pages', key='page_id', terms=_terms_sql('url') + ' || ' + _terms_sql('html'))}, found AS ({_or('casino', 'article')}) SELECT doc_id, score FROM found ORDER BY score DESC, doc_id LIMIT 10")
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = indexing.build(_docs(spark, sf_dir, "pages"), ["url", "html"], key="page_id", segment_docs=WHOLE)
+    return search.ranked(index, "casino OR article")
+
+
+_LINES = ['{"title": "Rust Web", "body": "build"}', "", "   ", "{bad", "[1]", '{"title": 5}', "null"]
+
+
+@_add("ingest_rejects", "SELECT 4::BIGINT AS documents, 1::BIGINT AS malformed, 2::BIGINT AS blank")
+def _rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jsonl.counters(jsonl.from_lines(spark, _LINES))
+
+
+_BATCH = {1: "from", 2: "from OR ther", 3: "that OR that OR pour", 4: "the"}
+
+
+@_add(
+    "batch_search",
+    f"""{_with()}, q AS (SELECT * FROM (VALUES (1, 'from', 1), (2, 'from', 1), (2, 'ther', 1), (3, 'that', 2), (3, 'pour', 1), (4, 'the', 1)) v(query_id, term, times)),
+    found AS (SELECT query_id, doc_id, round(sum((c * times)::DECIMAL(18,9))::DOUBLE, 6) AS score FROM scored JOIN q USING (term) WHERE NOT common GROUP BY query_id, doc_id)
+    SELECT query_id::BIGINT AS query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM found QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10""",
+)
+def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.batch(_index(spark, sf_dir), _BATCH)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Each query by name."""
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    """The SQL of each."""
+    return dict(_SQL)

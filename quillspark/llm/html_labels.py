@@ -111,4 +111,109 @@ TABLE = (
     (132, 0, 117, 0, 113, 0, 1),
     (135, 0, 7, 0, 7, 0, 1),
     (149, 0, 46, 0, 1, 0, 1),
+    (0, 0, 1, 1, 0, 0, 0),
+    (0, 0, 1, 1, 2, 1, 0),
+    (0, 0, 1, 1, 40, 0, 0),
+    (0, 0, 3, 1, 0, 0, 0),
+    (0, 0, 3, 1, 2, 1, 0),
+    (0, 0, 3, 1, 40, 0, 0),
+    (0, 0, 12, 0.85, 0, 0, 0),
+    (0, 0, 12, 0.85, 2, 1, 0),
+    (0, 0, 12, 0.85, 40, 0, 0),
+    (0, 0, 22, 0, 0, 0, 1),
+    (0, 0, 22, 0, 1, 1, 1),
+    (0, 0, 22, 0, 45, 0, 1),
+    (0, 0, 30, 0.85, 0, 0, 0),
+    (0, 0, 30, 0.85, 2, 1, 0),
+    (0, 0, 30, 0.85, 40, 0, 0),
+    (0, 0, 35, 0.1, 0, 0, 1),
+    (0, 0, 35, 0.1, 1, 1, 1),
+    (0, 0, 35, 0.1, 45, 0, 1),
+    (0, 0, 60, 0, 0, 0, 1),
+    (0, 0, 60, 0, 1, 1, 1),
+    (0, 0, 60, 0, 45, 0, 1),
+    (0, 0, 70, 0.85, 0, 0, 0),
+    (0, 0, 70, 0.85, 2, 1, 0),
+    (0, 0, 70, 0.85, 40, 0, 0),
+    (0, 0, 140, 0, 0, 0, 1),
+    (0, 0, 140, 0, 1, 1, 1),
+    (0, 0, 140, 0, 45, 0, 1),
+    (2, 1, 1, 1, 0, 0, 0),
+    (2, 1, 1, 1, 2, 1, 0),
+    (2, 1, 1, 1, 40, 0, 0),
+    (2, 1, 3, 1, 0, 0, 0),
+    (2, 1, 3, 1, 2, 1, 0),
+    (2, 1, 3, 1, 40, 0, 0),
+    (2, 1, 12, 0.85, 0, 0, 0),
+    (2, 1, 12, 0.85, 2, 1, 0),
+    (2, 1, 12, 0.85, 40, 0, 0),
+    (2, 1, 30, 0.85, 0, 0, 0),
+    (2, 1, 30, 0.85, 2, 1, 0),
+    (2, 1, 30, 0.85, 40, 0, 0),
+    (2, 1, 70, 0.85, 0, 0, 0),
+    (2, 1, 70, 0.85, 2, 1, 0),
+    (2, 1, 70, 0.85, 40, 0, 0),
+    (3, 0, 22, 0, 0, 0, 1),
+    (3, 0, 22, 0, 1, 1, 1),
+    (3, 0, 22, 0, 45, 0, 1),
+    (3, 0, 35, 0.1, 0, 0, 1),
+    (3, 0, 35, 0.1, 1, 1, 1),
+    (3, 0, 35, 0.1, 45, 0, 1),
+    (3, 0, 60, 0, 0, 0, 1),
+    (3, 0, 60, 0, 1, 1, 1),
+    (3, 0, 60, 0, 45, 0, 1),
+    (3, 0, 140, 0, 0, 0, 1),
+    (3, 0, 140, 0, 1, 1, 1),
+    (3, 0, 140, 0, 45, 0, 1),
+    (4, 1, 22, 0, 0, 0, 1),
+    (4, 1, 22, 0, 1, 1, 1),
+    (4, 1, 22, 0, 45, 0, 1),
+    (4, 1, 35, 0.1, 0, 0, 1),
+    (4, 1, 35, 0.1, 1, 1, 1),
+    (4, 1, 35, 0.1, 45, 0, 1),
+    (4, 1, 60, 0, 0, 0, 1),
+    (4, 1, 60, 0, 1, 1, 1),
+    (4, 1, 60, 0, 45, 0, 1),
+    (4, 1, 140, 0, 0, 0, 1),
+    (4, 1, 140, 0, 1, 1, 1),
+    (4, 1, 140, 0, 45, 0, 1),
+    (12, 0.8, 22, 0, 0, 0, 1),
+    (12, 0.8, 22, 0, 1, 1, 1),
+    (12, 0.8, 22, 0, 45, 0, 1),
+    (12, 0.8, 35, 0.1, 0, 0, 1),
+    (12, 0.8, 35, 0.1, 1, 1, 1),
+    (12, 0.8, 35, 0.1, 45, 0, 1),
+    (12, 0.8, 60, 0, 0, 0, 1),
+    (12, 0.8, 60, 0, 1, 1, 1),
+    (12, 0.8, 60, 0, 45, 0, 1),
+    (12, 0.8, 140, 0, 0, 0, 1),
+    (12, 0.8, 140, 0, 1, 1, 1),
+    (12, 0.8, 140, 0, 45, 0, 1),
+    (40, 0, 1, 1, 0, 0, 0),
+    (40, 0, 1, 1, 2, 1, 0),
+    (40, 0, 1, 1, 40, 0, 0),
+    (40, 0, 3, 1, 0, 0, 0),
+    (40, 0, 3, 1, 2, 1, 0),
+    (40, 0, 3, 1, 40, 0, 0),
+    (40, 0, 12, 0.85, 0, 0, 0),
+    (40, 0, 12, 0.85, 2, 1, 0),
+    (40, 0, 12, 0.85, 40, 0, 0),
+    (40, 0, 30, 0.85, 0, 0, 0),
+    (40, 0, 30, 0.85, 2, 1, 0),
+    (40, 0, 30, 0.85, 40, 0, 0),
+    (40, 0, 70, 0.85, 0, 0, 0),
+    (40, 0, 70, 0.85, 2, 1, 0),
+    (40, 0, 70, 0.85, 40, 0, 0),
+    (50, 0, 22, 0, 0, 0, 1),
+    (50, 0, 22, 0, 1, 1, 1),
+    (50, 0, 22, 0, 45, 0, 1),
+    (50, 0, 35, 0.1, 0, 0, 1),
+    (50, 0, 35, 0.1, 1, 1, 1),
+    (50, 0, 35, 0.1, 45, 0, 1),
+    (50, 0, 60, 0, 0, 0, 1),
+    (50, 0, 60, 0, 1, 1, 1),
+    (50, 0, 60, 0, 45, 0, 1),
+    (50, 0, 140, 0, 0, 0, 1),
+    (50, 0, 140, 0, 1, 1, 1),
+    (50, 0, 140, 0, 45, 0, 1),
 )

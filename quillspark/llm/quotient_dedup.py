@@ -53,7 +53,7 @@ class QuotientFilter:
         begin = np.flatnonzero(np.diff(values, prepend=values[:1] ^ np.uint64(1)) != 0) if len(values) else np.zeros(0, np.int64)
         values, counts = values[begin], np.add.reduceat(counts, begin) if len(begin) else counts[:0]
         n = len(values)
-        q = max(1, int(np.ceil(np.log2(max(2, n) / LOAD))))
+        q = min(bits, max(1, int(np.ceil(np.log2(max(2, n) / LOAD)))))
         quotient = (values >> np.uint64(bits - q)).astype(np.int64)
         at = np.maximum.accumulate(quotient - np.arange(n)) + np.arange(n) if n else quotient
         size = max(1 << q, int(at[-1]) + 1 if n else 0)

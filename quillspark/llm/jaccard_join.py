@@ -4,8 +4,9 @@ A document is the set of the hashes of its ``N``-grams of tokens.  Hashing the
 n-grams into ``GROUPS`` groups gives a vector of group counts, a point; the
 overlap of two sets is at most the sum over the groups of the smaller count, so
 a rectangle of points bounds the overlap with any point in it.  Points are
-packed into R-trees, searched for all that may reach the threshold, and the
-surviving pairs are verified on the sets themselves.
+packed into R-trees and searched for all that may reach the threshold; documents
+that surviving pairs join form groups, and within these all pairs are verified
+on the sets themselves.
 
 Since counts of random groups don't keep unlike documents apart along any one
 axis, one tree over the corpus would compare nearly all pairs.  So trees are
@@ -151,7 +152,10 @@ class RTree:
 
 
 def _search(batches: Iterator[pa.RecordBatch], groups: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """(a, b) of rows (key, id, vec) sorted by key: every point of a block is a query against the block's tree."""
+    """(a, b) of rows (key, id, vec) sorted by key: every point of a block is a query against the block's tree.
+
+    Points that surviving pairs join are each linked to the first of them.
+    """
     held: list | None = None
 
     def solve(key: np.ndarray, ids: np.ndarray, vec: np.ndarray) -> pa.RecordBatch:
@@ -183,9 +187,9 @@ def _search(batches: Iterator[pa.RecordBatch], groups: int, threshold: float) ->
                 right.append(x + found)
         i = np.concatenate(left) if left else np.zeros(0, np.int64)
         j = np.concatenate(right) if right else np.zeros(0, np.int64)
-        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-        pair = np.unique(np.stack([a, b], 1)[a != b], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+        root = labels(len(key), i, j)
+        k = np.flatnonzero(root != np.arange(len(key)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[root[k]]), pa.array(ids[k])], ["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -201,62 +205,156 @@ def _search(batches: Iterator[pa.RecordBatch], groups: int, threshold: float) ->
         yield solve(*held)
 
 
-def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """(a, b, jaccard) of rows (a, b, set of a, set of b) that reach the threshold."""
+def labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For n points joined by the pairs (i, j), the smallest point that each is joined to, directly or through others."""
+    out = np.arange(n)
+    while len(i):
+        low = np.minimum(out[i], out[j])
+        new = out.copy()
+        np.minimum.at(new, out[i], low)
+        np.minimum.at(new, out[j], low)
+        new = new[new]
+        if (new == out).all():
+            break
+        out = new
+        apart = out[i] != out[j]
+        i, j = i[apart], j[apart]
+    while (out[out] != out).any():
+        out = out[out]
+    return out
+
+
+#: Cells of a 0-1 matrix of sets and n-grams that is multiplied at once.
+CELLS = 1 << 23
+
+
+def similar(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, jaccard) of the pairs of sets that reach the threshold: of left with right, or i < j within left."""
+    sets = left + (right or [])
+    size = np.array([len(x) for x in sets])
+    grams, inverse, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    column = np.where(seen > 1, np.cumsum(seen > 1) - 1, -1)[inverse]  # what one set alone holds is in no overlap
+    row, column = row[column >= 0], column[column >= 0]
+    width = max(1, CELLS // len(sets))
+    n = len(left)
+    overlap = np.zeros((n, len(right) if right else n), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    top = int(column[-1]) + 1 if len(column) else 0
+    for a in range(0, top, width):
+        x, y = np.searchsorted(column, [a, a + width])
+        m = np.zeros((len(sets), min(width, top - a)), np.float32)
+        m[row[x:y], column[x:y] - a] = 1
+        overlap += m[:n] @ (m[n:] if right else m).T
+    joined = size[:n, None] + (size[n:] if right else size)[None, :] - overlap
+    hit = overlap >= threshold * joined - 1e-6
+    if right is None:
+        hit = np.triu(hit, 1)
+    at = np.nonzero(hit)
+    return at[0], at[1], overlap[at].astype(np.float64) / joined[at]
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], threshold: float, every: bool) -> Iterator[pa.RecordBatch]:
+    """(a, b, jaccard) of rows (root, one, two, tile, id, grams) sorted by the first three: the verified pairs of each group.
+
+    Without ``every``, of the points that pairs join each is paired with the first.
+    """
+    held: list[tuple] = []
+    at: tuple | None = None
+    ids_a: list[np.ndarray] = []
+    ids_b: list[np.ndarray] = []
+    js: list[np.ndarray] = []
+
+    def solve(key: tuple, rows: list[tuple]) -> None:
+        left = [r for r in rows if r[0] == key[1]]
+        right = [r for r in rows if r[0] != key[1]] if key[1] != key[2] else None
+        if not left or right == [] or len(rows) < 2:
+            return
+        unpack = lambda rs: [np.frombuffer(r[2], "<u4") for r in rs]
+        i, j, score = similar(unpack(left), unpack(right) if right else None, threshold)
+        x = np.array([r[1] for r in left])
+        y = np.array([r[1] for r in right]) if right else x
+        if not every:
+            root = labels(len(left) + len(right or []), i, j + (len(left) if right else 0))
+            both = np.concatenate([x, y]) if right else x
+            k = np.flatnonzero(root != np.arange(len(root)))
+            a, b, score = both[root[k]], both[k], np.ones(len(k))
+        else:
+            a, b = x[i], y[j]
+        ids_a.append(np.minimum(a, b))
+        ids_b.append(np.maximum(a, b))
+        js.append(score)
+
+    def flush() -> pa.RecordBatch:
+        a, b, j = (np.concatenate(c) if c else np.zeros(0, t) for c, t in ((ids_a, np.int64), (ids_b, np.int64), (js, np.float64)))
+        for c in (ids_a, ids_b, js):
+            c.clear()
+        ok = a != b
+        return pa.RecordBatch.from_arrays([pa.array(a[ok], pa.int64()), pa.array(b[ok], pa.int64()), pa.array(j[ok], pa.float64())], ["a", "b", "jaccard"])
+
     for batch in batches:
-        a, b = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        j = np.zeros(len(a))
-        for k in range(len(a)):
-            x, y = np.frombuffer(left[k], "<u4"), np.frombuffer(right[k], "<u4")
-            both = np.intersect1d(x, y, assume_unique=True).size
-            j[k] = both / max(1, len(x) + len(y) - both)
-        ok = j >= threshold
-        yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(j[ok])], ["a", "b", "jaccard"])
+        keys = zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
+        for key, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in range(3, 6)), strict=True), strict=True):
+            if key != at:
+                if held:
+                    solve(at, held)
+                held, at = [], key
+            held.append(row)
+        yield flush()
+    if held:
+        solve(at, held)
+    yield flush()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(id, grams) of rows (id, text): the distinct n-grams, 32 bits each."""
+    """(id, ..., grams) of rows (id, text, ...): the distinct n-grams, 32 bits each."""
     for b in batches:
         raw, off = _text.buffers(b.column(1))
         for a, z, r, o in _text.chunks(raw, off):
             packed = [np.unique((h >> np.uint64(32)).astype("<u4")).tobytes() for h, _ in gram_sets(r, o, n)]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(packed, pa.binary())], ["id", "grams"])
+            rest = [b.column(k).slice(a, z - a) for k in (0, *range(2, b.num_columns))]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(packed, pa.binary())], [b.schema.names[0], *b.schema.names[2:], "grams"])
 
 
-def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, groups: int = GROUPS, sketch: int = SKETCH, small: int = SMALL) -> DataFrame:
-    """(doc_id, other_doc_id, jaccard) of the pairs at the threshold or above, doc_id < other_doc_id.
+#: Documents of a group that are compared at once; larger groups are compared tile by tile.
+TILE = 512
 
-    Of documents with equal sets, all pair with the first of them at 1.0, and
-    only that one stands in their pairs with other documents.
-    """
+
+def _linked(docs: DataFrame, n: int, threshold: float, groups: int, sketch: int, small: int, every: bool) -> DataFrame:
+    """(a, b, jaccard): verified pairs of distinct sets, and of each copy with the first of its set."""
     _spark.session(docs)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").alias("text")).where("id is not null and text is not null")
     points = rows.mapInArrow(lambda b: _points(b, n, groups, sketch, small, threshold), "id bigint, size int, same bigint, vec binary, keys array<bigint>")
     points = _spark.checkpoint(points)
     first = points.groupBy("same", "size").agg(F.min("id").alias("first"))
-    copies = points.select("same", "size", "id").distinct().join(first, ["same", "size"]).where("id > first").select(F.col("first").alias("doc_id"), F.col("id").alias("other_doc_id"), F.lit(1.0).alias("jaccard"))
+    copies = points.select("same", "size", "id").distinct().join(first, ["same", "size"]).where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
     lone = points.join(first, ["same", "size"]).where("id = first").select("id", "vec", "keys")
     blocks = lone.select(F.explode("keys").alias("key"), "id").repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda b: shared_rows(b), "key bigint, id bigint")
     keyed = blocks.groupBy("id").agg(F.collect_set("key").alias("shared")).join(lone.select("id", "vec"), "id").select(F.explode("shared").alias("key"), "id", "vec")
     near = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _search(b, groups, threshold), "a bigint, b bigint").distinct()
-    near = _spark.checkpoint(near)
-    wanted = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    sets = rows.join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(lambda b: _sets(b, n), "id bigint, grams binary")
-    sets = _spark.checkpoint(sets)
-    checked = (
-        near.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-        .select("a", "b", "ga", "gb")
-        .mapInArrow(lambda b: _verify(b, threshold), "a bigint, b bigint, jaccard double")
-        .groupBy(F.col("a").alias("doc_id"), F.col("b").alias("other_doc_id"))
-        .agg(F.max("jaccard").alias("jaccard"))
-    )
+    # surviving pairs make groups; each set travels to its group once, or once a row of tiles of a large one
+    found = components(near)
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    member = found.join(found.groupBy("root").agg(F.count("*").alias("n")), "root").select(F.col("node").alias("id"), "root", tiles.alias("m"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("tile"))
+    sets = rows.join(member.hint("shuffle_hash"), "id").select("id", "text", "root", "m", "tile").mapInArrow(lambda b: _sets(b, n), "id bigint, root bigint, m int, tile int, grams binary")
+    other = sets.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("root", F.least("tile", "u").alias("one"), F.greatest("tile", "u").alias("two"), "tile", "id", "grams")
+    checked = other.repartition("root", "one", "two").sortWithinPartitions("root", "one", "two").mapInArrow(lambda b: _tiles(b, threshold, every), "a bigint, b bigint, jaccard double")
     return checked.unionByName(copies)
 
 
+def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, groups: int = GROUPS, sketch: int = SKETCH, small: int = SMALL) -> DataFrame:
+    """(doc_id, other_doc_id, jaccard) of the pairs at the threshold or above, doc_id < other_doc_id.
+
+    Of documents with equal sets, all pair with the first of them at 1.0, and
+    only that one stands in their pairs with other documents.
+    """
+    found = _linked(docs, n, threshold, groups, sketch, small, every=True)
+    return found.select(F.col("a").alias("doc_id"), F.col("b").alias("other_doc_id"), "jaccard")
+
+
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents that pairs join, directly or through others, to one of smaller doc_id."""
-    found = pairs(docs, n, threshold)
-    gone = components(found.select(F.col("doc_id").alias("a"), F.col("other_doc_id").alias("b"))).where("node <> root").select(F.col("node").alias("__node"))
+    found = _linked(docs, n, threshold, GROUPS, SKETCH, SMALL, every=False)
+    gone = components(found.select("a", "b")).where("node <> root").select(F.col("node").alias("__node"))
     return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("bigint") == gone["__node"], "left_anti")

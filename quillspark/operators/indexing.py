@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -177,12 +176,9 @@ def ungap(gapped: DataFrame) -> DataFrame:
 
 
 def offsets(index: Index) -> DataFrame:
-    """(segment_id, term, term_bytes, byte_offset) of a dictionary written term after term."""
-    order = Window.partitionBy("segment_id").orderBy("term")
-    size = F.octet_length("term")
-    return index.terms.select("segment_id", "term", size.alias("term_bytes"), (F.sum(size).over(order) - size).alias("byte_offset"))
-
-
-def folder_size(path: str) -> int:
-    """Bytes of a local folder."""
-    return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(path) for f in fs)
+    """(segment_id, term, term_bytes, byte_offset) of a dictionary written term after term, summed like its ids."""
+    sized = index.terms.select("segment_id", "term", F.octet_length("term").alias("term_bytes"), F.substring("term", 1, 2).alias("__i"))
+    sums = sized.groupBy("segment_id", "__i").agg(F.sum("term_bytes").alias("__n"))
+    ahead = sums.select("segment_id", "__i", (F.sum("__n").over(Window.partitionBy("segment_id").orderBy("__i")) - F.col("__n")).alias("__ahead"))
+    here = F.sum("term_bytes").over(Window.partitionBy("segment_id", "__i").orderBy("term")) - F.col("term_bytes")
+    return sized.withColumn("__k", here).join(ahead, ["segment_id", "__i"]).select("segment_id", "term", "term_bytes", (F.col("__ahead") + F.col("__k")).alias("byte_offset"))

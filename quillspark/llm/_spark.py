@@ -15,7 +15,10 @@ _shipped: weakref.WeakSet = weakref.WeakSet()
 
 
 def session(df: DataFrame) -> SparkSession:
-    """The session of df, with this package sent to its Python workers."""
+    """The session of df, with this package sent to its Python workers.
+
+    The archive is the driver's own; Spark copies it to the executors.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc not in _shipped:

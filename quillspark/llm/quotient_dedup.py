@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 
 from . import _spark
 
-#: Fingerprints of a partition that one filter should hold about, when ranges are chosen.
-RANGE_BITS = 8
+#: Share of a filter's quotients that are in use.
 LOAD = 0.75
 
 
@@ -168,13 +167,18 @@ def _merge(batches: Iterator[pa.RecordBatch], range_bits: int) -> Iterator[pa.Re
         yield repeated()
 
 
-def repeated_fingerprints(fingerprints: DataFrame, range_bits: int = RANGE_BITS) -> DataFrame:
-    """The values of the one bigint column that occur more than once."""
+def repeated_fingerprints(fingerprints: DataFrame, range_bits: int | None = None) -> DataFrame:
+    """The values of the one bigint column that occur more than once.
+
+    There are about four ranges to each partition of a shuffle, unless their bits are given.
+    """
+    if range_bits is None:
+        range_bits = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length() + 2
     filters = fingerprints.mapInArrow(lambda b: _build(b, range_bits), "range int, filter binary")
     return filters.repartition("range").sortWithinPartitions("range").mapInArrow(lambda b: _merge(b, range_bits), "fp bigint")
 
 
-def duplicates(docs: DataFrame, range_bits: int = RANGE_BITS) -> DataFrame:
+def duplicates(docs: DataFrame, range_bits: int | None = None) -> DataFrame:
     """(doc_id, duplicate_of) of every document whose text equals that of one with a smaller doc_id."""
     _spark.session(docs)
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null and text is not null").withColumn("fp", F.xxhash64("text"))

@@ -39,7 +39,7 @@ EPOCHS = 2
 RATE = 0.5
 DECAY = 1e-4
 #: How improbable by chance a word's absence from all clean documents must be.
-CHANCE = 1e-5
+CHANCE = 1e-4
 #: A token of at least this probability belongs to a span.
 THRESHOLD = 0.5
 

@@ -147,6 +147,12 @@ def seek(index: Index, term: str, target: int) -> DataFrame:
     return index.postings.where((F.col("term") == term) & (F.col("doc_id") >= target)).agg(F.min("doc_id").alias("doc_id"))
 
 
+def segment_of(index: Index, ids: DataFrame) -> DataFrame:
+    """(doc_id, segment_id): the segment in whose range of numbers each row of ids lies; null where none does."""
+    ranges = index.segments.select("segment_id", "min_doc_id", "max_doc_id")
+    return ids.join(F.broadcast(ranges), F.col("doc_id").between(F.col("min_doc_id"), F.col("max_doc_id")), "left").select("doc_id", "segment_id")
+
+
 def blocks(index: Index) -> DataFrame:
     """Summary of each 128 postings of a term: the last document, largest tf, smallest length and score bound."""
     n = index.segments.agg(F.sum("doc_count").alias("n"))

@@ -12,7 +12,7 @@ from quillspark.operators import indexing
 from quillspark.operators.indexing import Index
 from quillspark.plans import search
 from quillspark.plans.parser import parse
-from quillspark.plans.planner import compile_query, top_per_segment
+from quillspark.plans.planner import compile_query, estimate, top_per_segment
 from quillspark.sources import jsonl
 
 #: Documents of a segment in the queries about segments, and in those that have only one.
@@ -300,6 +300,16 @@ def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(index, "casino OR article")
 
 
+@_add("segment_lookup", f"{_with(SEGMENT)} SELECT c.cust AS doc_id, s.segment_id FROM (SELECT DISTINCT doc_id AS cust FROM labels) c LEFT JOIN segments s ON c.cust BETWEEN s.min_doc_id AND s.max_doc_id")
+def _segment_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexing.segment_of(_index(spark, sf_dir, SEGMENT), _docs(spark, sf_dir, "labels").select("doc_id").distinct())
+
+
+@_add("df_estimate", f"{_with()} SELECT least((SELECT sum(df) FROM terms WHERE term IN ('from', 'ther')), (SELECT sum(df) FROM terms WHERE term = 'that'))::BIGINT AS estimate")
+def _estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return estimate(_index(spark, sf_dir), parse("(from OR ther) AND that NOT the"))
+
+
 _LINES = ['{"title": "Rust Web", "body": "build"}', "", "   ", "{bad", "[1]", '{"title": 5}', "null"]
 
 

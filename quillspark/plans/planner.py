@@ -107,3 +107,30 @@ def compile_query(index: Index, query: Query, k: int, compat: bool = False) -> D
         return out
 
     return run(query)
+
+
+def estimate(index: Index, query: Query) -> DataFrame:
+    """One row: how many documents a query may match at most, by the counts of its words alone.
+
+    AND is bounded by its smallest part, OR by the sum of its parts, and what
+    NOT excludes isn't counted.
+    """
+    words = sorted(set(all_words(query)))
+    counts = index.terms.where(F.col("term").isin(words)).agg(*(F.coalesce(F.sum(F.when(F.col("term") == w, F.col("df"))), F.lit(0)).cast("bigint").alias(f"w{k}") for k, w in enumerate(words)))
+
+    def bound(q: Query) -> F.Column:
+        if isinstance(q, Term):
+            return F.col(f"w{words.index(q.text)}")
+        if isinstance(q, Not):
+            raise QueryError("NOT must be combined with AND")
+        parts = [bound(p) for p in q.parts if not isinstance(p, Not)]
+        if not parts:
+            return F.lit(0).cast("bigint")
+        if isinstance(q, And):
+            return F.least(*parts) if len(parts) > 1 else parts[0]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out + p
+        return out
+
+    return counts.select(bound(query).alias("estimate"))

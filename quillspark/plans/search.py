@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Mapping
 from dataclasses import dataclass
@@ -61,6 +62,11 @@ def batch(index: Index, queries: Mapping[int, str], limit: int = 10) -> DataFram
     return found.withColumn("rank", best).where(F.col("rank") <= limit).select("query_id", "rank", "doc_id", "score")
 
 
+def as_json(page: DataFrame) -> DataFrame:
+    """(rank, hit): each row of a page as JSON text."""
+    return page.select("rank", F.to_json(F.struct(*(c for c in page.columns if c != "rank"))).alias("hit"))
+
+
 def title(*fields: str) -> Column:
     """The first of the fields that is there, else a placeholder."""
     return F.coalesce(*(F.col(f"`{f}`") for f in fields), F.lit("(untitled)"))
@@ -109,6 +115,10 @@ class Results:
     took_ms: float
     hits: list[dict]
 
+    def to_json(self) -> str:
+        """The page as JSON."""
+        return json.dumps({"total_hits": self.total_hits, "total_matches": self.total_matches, "took_ms": self.took_ms, "hits": self.hits}, ensure_ascii=False, default=str)
+
 
 class SearchIndex:
     """A written index that is open for queries."""

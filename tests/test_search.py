@@ -225,3 +225,48 @@ def test_batch_equals_single(spark):
         assert [(r.doc_id, r.score) for r in sorted((r for r in rows if r.query_id == i), key=lambda r: r.rank)] == found(index, q)
     with pytest.raises(ValueError):
         search.batch(index, {1: "a AND b"})
+
+
+def test_server_and_cli(spark, tmp_path, capsys):
+    import json
+    import threading
+    import urllib.request
+
+    from quillspark import cli, server
+
+    source = tmp_path / "in.jsonl"
+    source.write_text('{"title": "Rust Web", "body": "build <b> apps"}\n{bad\n\n{"title": "Go", "body": "rust tools"}\n')
+    path = str(tmp_path / "index")
+    assert cli.main(["index", "--input", str(source), "--output", path, "--batch-size", "1"]) == 0
+    assert "2 documents, 1 malformed" in capsys.readouterr().out
+    assert cli.main(["merge", "--index", path, "--output", path + "2"]) == 0
+    assert cli.main(["search", "--index", path + "2", "rust", "web"]) == 0
+    assert "Rust Web" in capsys.readouterr().out
+    assert cli.main(["search", "--index", path, "(rust"]) == 1
+    assert cli.main(["stats", "--index", path]) == 0
+    assert "2 documents, 2 segments" in capsys.readouterr().out
+    http = server.serve(search.SearchIndex(spark, path), port=0)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    get = lambda p: urllib.request.urlopen(f"http://127.0.0.1:{http.server_port}{p}").read().decode()
+    try:
+        found = json.loads(get("/api/search?q=rust&limit=5"))
+        assert found["total_matches"] == 2 and len(found["hits"]) == 2
+        assert json.loads(get("/api/stats"))["total_docs"] == 2 and json.loads(get("/health"))["status"] == "ok"
+        assert "build &lt;b&gt; apps" in get("/search?q=web") and "2 documents" in get("/")
+        for bad in ("/api/search?q=", "/api/search?q=(x", "/nothing"):
+            with pytest.raises(urllib.error.HTTPError):
+                get(bad)
+    finally:
+        http.shutdown()
+
+
+def test_estimate_and_ranges(spark):
+    from quillspark.plans.planner import estimate
+
+    index = index_of(spark, [("a b",), ("a",), ("b c",), ("c",)], ("body",), segment_docs=2)
+    for q, n in (("a", 2), ("a OR c", 4), ("(a OR b) c", 2), ("a NOT b", 2), ("zz a", 0)):
+        assert estimate(index, parse(q)).first()[0] == n
+    ids = spark.createDataFrame([(0,), (3,), (9,), (None,)], "doc_id bigint")
+    assert {(r.doc_id, r.segment_id) for r in indexing.segment_of(index, ids).collect()} == {(0, 0), (3, 1), (9, None), (None, None)}
+    page = search.as_json(search.hits(index, "c")).collect()
+    assert '"doc_id":3' in page[0].hit and page[0]["rank"] == 1

@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     the logarithm of the longest path; each is cut from its lineage by a
     checkpoint.
     """
-    loops = edges.where("a is not null and b is not null")
+    loops = _spark.checkpoint(edges.where("a is not null and b is not null").select("a", "b"))
     nodes = loops.select(F.col("a").alias("node")).union(loops.select(F.col("b").alias("node"))).distinct()
     links = _spark.checkpoint(loops.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None

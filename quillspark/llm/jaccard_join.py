@@ -42,7 +42,9 @@ N = 2
 #: Jaccard similarity from which two documents are a pair.
 THRESHOLD = 0.5
 #: Groups that n-grams are hashed into: dimensions of the R-tree.
-GROUPS = 64
+GROUPS = 256
+#: The largest count; a vector of nothing else leaves all overlaps possible.
+FULL = 255
 #: N-grams of a document that make blocks.
 SKETCH = 24
 #: Sets of up to so many n-grams also make blocks of their exact prefix.
@@ -106,7 +108,9 @@ def _points(batches: Iterator[pa.RecordBatch], n: int, groups: int, sketch: int,
                 size.append(len(h))
                 with np.errstate(over="ignore"):
                     same.append(int(np.bitwise_xor.reduce(_text.mix(h + np.uint64(5))).view(np.int64)))
-                vec.append(np.bincount((h >> np.uint64(40)).astype(np.int64) % groups, minlength=groups).astype("<u4").tobytes())
+                count = np.bincount((h >> np.uint64(40)).astype(np.int64) % groups, minlength=groups)
+                # counts take a byte; where one doesn't fit, all are the largest, which bounds nothing
+                vec.append((count if count.max() < FULL else np.full(groups, FULL)).astype(np.uint8).tobytes())
                 keys.append(block_keys(h, rank, sketch, small, threshold).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[a + np.array(at, np.int64)]), pa.array(size, pa.int32()), pa.array(same, pa.int64()), pa.array(vec, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
@@ -114,12 +118,17 @@ def _points(batches: Iterator[pa.RecordBatch], n: int, groups: int, sketch: int,
             )
 
 
+def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Largest possible overlaps of sets with these counts, row by row."""
+    return np.where((a[..., 0] == FULL) | (b[..., 0] == FULL), np.int64(1) << 40, np.minimum(a, b).sum(-1, dtype=np.int64))
+
+
 class RTree:
-    """A packed R-tree over count vectors; each node holds the largest counts of what is below it."""
+    """A packed R-tree over count vectors of sets of given sizes; each node holds the largest counts of what is below it."""
 
-    def __init__(self, points: np.ndarray, fanout: int = FANOUT):
+    def __init__(self, points: np.ndarray, size: np.ndarray, fanout: int = FANOUT):
         self.fanout = fanout
-        self.size = points.sum(1)
+        self.size = size
         # packed by size, then by the counts of the widest groups, tile by tile
         order = np.argsort(self.size, kind="stable")
         wide = np.argsort(-points.var(0))[:2] if len(points) else np.zeros(2, np.int64)
@@ -133,13 +142,12 @@ class RTree:
             top, low, high = np.maximum.reduceat(top, cut, axis=0), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
             self.levels.append((top, low, high))
 
-    def search(self, q: np.ndarray, threshold: float) -> np.ndarray:
-        """Numbers of the points whose overlap bound with q allows the threshold."""
-        n = int(q.sum())
+    def search(self, q: np.ndarray, n: int, threshold: float) -> np.ndarray:
+        """Numbers of the points whose overlap bound with q, a set of n, allows the threshold."""
         share = threshold / (1 + threshold)
 
         def may(top: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-            return (high >= threshold * n) & (low * threshold <= n) & (np.minimum(top, q).sum(1) >= share * (n + low) - 1e-9)
+            return (high >= threshold * n) & (low * threshold <= n) & (bound(top, q) >= share * (n + low) - 1e-9)
 
         at = np.zeros(1, np.int64) if self.levels else np.arange(len(self.points))
         for k in range(len(self.levels) - 1, -1, -1):
@@ -152,18 +160,17 @@ class RTree:
 
 
 def _search(batches: Iterator[pa.RecordBatch], groups: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """(a, b) of rows (key, id, vec) sorted by key: every point of a block is a query against the block's tree.
+    """(a, b) of rows (key, id, size, vec) sorted by key: every point of a block is a query against the block's tree.
 
     Points that surviving pairs join are each linked to the first of them.
     """
     held: list | None = None
 
-    def solve(key: np.ndarray, ids: np.ndarray, vec: np.ndarray) -> pa.RecordBatch:
+    def solve(key: np.ndarray, ids: np.ndarray, size: np.ndarray, vec: np.ndarray) -> pa.RecordBatch:
         run = _text.run_ids(key)
         begin = np.flatnonzero(np.diff(run, prepend=-1))
         stop = np.append(begin[1:], len(key))
         left, right = [], []
-        size = vec.sum(1)
         share = threshold / (1 + threshold)
         # blocks of one leaf, all at once: each row against the k-th after it in its block
         span = stop - begin
@@ -175,13 +182,13 @@ def _search(batches: Iterator[pa.RecordBatch], groups: int, threshold: float) ->
             j = i + k
             sure = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j])
             i, j = i[sure], j[sure]
-            sure = np.minimum(vec[i], vec[j]).sum(1) >= share * (size[i] + size[j]) - 1e-9
+            sure = bound(vec[i], vec[j]) >= share * (size[i] + size[j]) - 1e-9
             left.append(i[sure])
             right.append(j[sure])
         for x, y in zip(begin[span > FANOUT].tolist(), stop[span > FANOUT].tolist(), strict=True):
-            tree = RTree(vec[x:y])
+            tree = RTree(vec[x:y], size[x:y])
             for k in range(y - x):
-                found = tree.search(vec[x + k], threshold)
+                found = tree.search(vec[x + k], int(size[x + k]), threshold)
                 found = found[found > k]
                 left.append(np.full(len(found), x + k))
                 right.append(x + found)
@@ -194,7 +201,7 @@ def _search(batches: Iterator[pa.RecordBatch], groups: int, threshold: float) ->
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(-1, groups).astype(np.int64)]
+        rows = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, groups)]
         if held is not None:
             rows = [np.concatenate([x, y]) for x, y in zip(held, rows, strict=True)]
         cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
@@ -318,7 +325,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
 
 
 #: Documents of a group that are compared at once; larger groups are compared tile by tile.
-TILE = 512
+TILE = 1024
 
 
 def _linked(docs: DataFrame, n: int, threshold: float, groups: int, sketch: int, small: int, every: bool) -> DataFrame:
@@ -328,10 +335,15 @@ def _linked(docs: DataFrame, n: int, threshold: float, groups: int, sketch: int,
     points = rows.mapInArrow(lambda b: _points(b, n, groups, sketch, small, threshold), "id bigint, size int, same bigint, vec binary, keys array<bigint>")
     points = _spark.checkpoint(points)
     first = points.groupBy("same", "size").agg(F.min("id").alias("first"))
-    copies = points.select("same", "size", "id").distinct().join(first, ["same", "size"]).where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
-    lone = points.join(first, ["same", "size"]).where("id = first").select("id", "vec", "keys")
+    copies = _spark.checkpoint(
+        points.select("same", "size", "id").distinct().join(first, ["same", "size"]).where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    )
+    # a doc_id with several texts can be a copy by one and the first of another: its set goes with its number
+    later = copies.select(F.col("b").alias("id")).distinct()
+    lone = points.join(later.hint("shuffle_hash"), "id", "left_anti").unionByName(points.join(later.hint("shuffle_hash"), "id", "left_semi").join(first, ["same", "size"]).where("id = first").drop("first"))
+    lone = _spark.checkpoint(lone.select("id", "size", "vec", "keys"))
     blocks = lone.select(F.explode("keys").alias("key"), "id").repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda b: shared_rows(b), "key bigint, id bigint")
-    keyed = blocks.groupBy("id").agg(F.collect_set("key").alias("shared")).join(lone.select("id", "vec"), "id").select(F.explode("shared").alias("key"), "id", "vec")
+    keyed = lone.select("id", "size", "vec").join(blocks.groupBy("id").agg(F.collect_set("key").alias("shared")).hint("shuffle_hash"), "id").select(F.explode("shared").alias("key"), "id", "size", "vec")
     near = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _search(b, groups, threshold), "a bigint, b bigint").distinct()
     # surviving pairs make groups; each set travels to its group once, or once a row of tiles of a large one
     found = components(near)

@@ -287,12 +287,13 @@ def test_r_tree():
     rng = np.random.default_rng(1)
     points = rng.poisson(2.0, (500, 16))
     points[250:] = np.maximum(0, points[:250] + rng.integers(-1, 2, (250, 16)) * (rng.random((250, 16)) < 0.2))
-    tree = jaccard_join.RTree(points, fanout=4)
     n = points.sum(1)
+    points = points.astype(np.uint8)
+    tree = jaccard_join.RTree(points, n, fanout=4)
     for q in range(0, 500, 17):
         bound = np.minimum(points, points[q]).sum(1) >= 0.8 / 1.8 * (n + n[q]) - 1e-9
         size = (n >= 0.8 * n[q]) & (0.8 * n <= n[q])
-        assert sorted(tree.search(points[q], 0.8).tolist()) == np.flatnonzero(bound & size).tolist()
+        assert sorted(tree.search(points[q], int(n[q]), 0.8).tolist()) == np.flatnonzero(bound & size).tolist()
 
 
 def test_html():

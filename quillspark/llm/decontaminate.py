@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import _spark, _text
 
@@ -136,8 +137,19 @@ class Automaton:
         return out
 
 
-def fit(benchmark: DataFrame, id_column: str = "item_id") -> Automaton:
-    """The automaton of all items of a benchmark table; test sets are small, and stay so as the corpus grows."""
+#: Bytes of test items that may travel to all executors as an automaton.
+MOST_BYTES = 64_000_000
+
+
+def fit(benchmark: DataFrame, id_column: str = "item_id", most_bytes: int = MOST_BYTES) -> Automaton:
+    """The automaton of all items of a benchmark table.
+
+    Test sets don't grow with the corpus; ValueError if one is too large to
+    travel to all executors, and then its parts can be applied in turn.
+    """
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"the benchmark has {size} bytes, more than {most_bytes}: apply it in parts")
     return Automaton.of([(r[0], r[1]) for r in benchmark.select(id_column, "text").collect()])
 
 

@@ -101,7 +101,7 @@ def _bags(texts: list[str], bits: int, sizes: tuple[int, ...]) -> list[tuple[np.
         off = np.array([0, len(raw)])
         f = np.concatenate([b for b, _ in features(raw, off, bits, sizes)]) if len(raw) else np.zeros(0, np.uint64)
         ids, n = np.unique(f, return_counts=True)
-        out.append((ids.astype(np.int64), (n / max(1, n.sum())).astype(np.float32)))
+        out.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
     return out
 
 

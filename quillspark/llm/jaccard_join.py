@@ -14,8 +14,8 @@ built in blocks: documents with the same two neighbouring values among the
 ``SKETCH`` first n-grams of a fixed order by content (long n-grams before short
 ones, then by hash), and, for small sets, the same value among the first of an
 exact prefix.  This is the approximate part: a pair at the threshold shares no
-block with probability under 0.01.  Documents with equal sets are one point,
-and appear as pairs with the first of them.
+block with probability under 0.01.  Documents with equal sets are one point;
+``all_pairs`` lists every one of them in its pairs, ``pairs`` the first.
 
 Defined results: a text of fewer than ``N`` tokens is the set of its one
 shorter n-gram; null texts and texts without tokens join nothing; rows with a
@@ -106,8 +106,7 @@ def _points(batches: Iterator[pa.RecordBatch], n: int, groups: int, sketch: int,
             for k in at:
                 h, rank = sets[k]
                 size.append(len(h))
-                with np.errstate(over="ignore"):
-                    same.append(int(np.bitwise_xor.reduce(_text.mix(h + np.uint64(5))).view(np.int64)))
+                same.append(_number(h))
                 count = np.bincount((h >> np.uint64(40)).astype(np.int64) % groups, minlength=groups)
                 # counts take a byte; where one doesn't fit, all are the largest, which bounds nothing
                 vec.append((count if count.max() < FULL else np.full(groups, FULL)).astype(np.uint8).tobytes())
@@ -262,111 +261,188 @@ def similar(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: f
     return at[0], at[1], overlap[at].astype(np.float64) / joined[at]
 
 
+#: Pairs that are put out at once.
+ROWS = 1 << 17
+
+
+def _pieces(count: np.ndarray) -> Iterator[slice]:
+    """Slices of rows with ``ROWS`` items together, or one row of more."""
+    total = np.cumsum(count)
+    a = 0
+    while a < len(count):
+        z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + ROWS, side="right")))
+        yield slice(a, z)
+        a = z
+
+
+def _items(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The items of all lists, where each list begins, and how long it is."""
+    count = np.array([len(x) for x in lists], np.int64)
+    return np.concatenate(lists), np.cumsum(count) - count, count
+
+
+def expand(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray, score: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, score): each item of left[i] with each of right[j], a bounded number at once."""
+    la, begin_a, count_a = _items(left)
+    lb, begin_b, count_b = _items(right)
+
+    def places(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(count)), count)
+        return row, begin[row] + np.arange(len(row)) - (np.cumsum(count) - count)[row]
+
+    for s in _pieces(count_a[i]):
+        row, at = places(begin_a[i[s]], count_a[i[s]])
+        a, jj, js = la[at], j[s][row], score[s][row]
+        for t in _pieces(count_b[jj]):
+            row, at = places(begin_b[jj[t]], count_b[jj[t]])
+            yield a[t][row], lb[at], js[t][row]
+
+
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, jaccard) of rows (ids, part): all pairs whose first is in the part of ``TILE`` ids."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def flush() -> pa.RecordBatch:
+        a, b = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.ones(len(a)))], ["a", "b", "jaccard"])
+
+    for batch in batches:
+        n = 0
+        for ids, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids = np.array(ids, np.int64)
+            for k in range(part * TILE, min((part + 1) * TILE, len(ids) - 1)):
+                out.append((np.full(len(ids) - k - 1, ids[k]), ids[k + 1 :]))
+                n += len(ids) - k - 1
+                if n >= ROWS:
+                    yield flush()
+                    n = 0
+        yield flush()
+
+
 def _tiles(batches: Iterator[pa.RecordBatch], threshold: float, every: bool) -> Iterator[pa.RecordBatch]:
-    """(a, b, jaccard) of rows (root, one, two, tile, id, grams) sorted by the first three: the verified pairs of each group.
+    """(a, b, jaccard) of rows (root, one, two, tile, id, grams, ids) sorted by the first three: the verified pairs of each group, between all their ids.
 
     Without ``every``, of the points that pairs join each is paired with the first.
     """
     held: list[tuple] = []
     at: tuple | None = None
-    ids_a: list[np.ndarray] = []
-    ids_b: list[np.ndarray] = []
-    js: list[np.ndarray] = []
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def solve(key: tuple, rows: list[tuple]) -> None:
+    def solve(key: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rows = list({r[1]: r for r in rows}.values())  # repeated rows of a document
         left = [r for r in rows if r[0] == key[1]]
         right = [r for r in rows if r[0] != key[1]] if key[1] != key[2] else None
         if not left or right == [] or len(rows) < 2:
             return
         unpack = lambda rs: [np.frombuffer(r[2], "<u4") for r in rs]
         i, j, score = similar(unpack(left), unpack(right) if right else None, threshold)
-        x = np.array([r[1] for r in left])
-        y = np.array([r[1] for r in right]) if right else x
+        x = [np.array(r[3], np.int64) for r in left]
+        y = [np.array(r[3], np.int64) for r in right] if right else x
         if not every:
             root = labels(len(left) + len(right or []), i, j + (len(left) if right else 0))
-            both = np.concatenate([x, y]) if right else x
-            k = np.flatnonzero(root != np.arange(len(root)))
-            a, b, score = both[root[k]], both[k], np.ones(len(k))
-        else:
-            a, b = x[i], y[j]
-        ids_a.append(np.minimum(a, b))
-        ids_b.append(np.maximum(a, b))
-        js.append(score)
+            x = y = x + y if right else x
+            j = np.flatnonzero(root != np.arange(len(root)))
+            i, score = root[j], np.ones(len(j))
+        for found in expand(x, y, i, j, score):
+            out.append(found)
+            if sum(len(c[0]) for c in out) >= ROWS:
+                yield flush()
 
     def flush() -> pa.RecordBatch:
-        a, b, j = (np.concatenate(c) if c else np.zeros(0, t) for c, t in ((ids_a, np.int64), (ids_b, np.int64), (js, np.float64)))
-        for c in (ids_a, ids_b, js):
-            c.clear()
+        a, b, j = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        out.clear()
         ok = a != b
-        return pa.RecordBatch.from_arrays([pa.array(a[ok], pa.int64()), pa.array(b[ok], pa.int64()), pa.array(j[ok], pa.float64())], ["a", "b", "jaccard"])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok]), pa.array(j[ok], pa.float64())], ["a", "b", "jaccard"])
 
     for batch in batches:
         keys = zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
-        for key, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in range(3, 6)), strict=True), strict=True):
+        for key, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in range(3, 7)), strict=True), strict=True):
             if key != at:
                 if held:
-                    solve(at, held)
+                    yield from solve(at, held)
                 held, at = [], key
             held.append(row)
         yield flush()
     if held:
-        solve(at, held)
+        yield from solve(at, held)
     yield flush()
 
 
+def _number(h: np.ndarray) -> int:
+    """Identifies a set."""
+    with np.errstate(over="ignore"):
+        return int(np.bitwise_xor.reduce(_text.mix(h + np.uint64(5))).view(np.int64))
+
+
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(id, ..., grams) of rows (id, text, ...): the distinct n-grams, 32 bits each."""
+    """(id, ..., grams) of rows (id, text, ...) whose text is the set of this number: the distinct n-grams, 32 bits each."""
     for b in batches:
+        ids = b.column(0).to_numpy(zero_copy_only=False)
         raw, off = _text.buffers(b.column(1))
         for a, z, r, o in _text.chunks(raw, off):
-            packed = [np.unique((h >> np.uint64(32)).astype("<u4")).tobytes() for h, _ in gram_sets(r, o, n)]
+            sets = [h for h, _ in gram_sets(r, o, n)]
+            own = pa.array([len(h) > 0 and _number(h) == k for h, k in zip(sets, ids[a:z].tolist(), strict=True)], pa.bool_())
+            packed = [np.unique((h >> np.uint64(32)).astype("<u4")).tobytes() for h in sets]
             rest = [b.column(k).slice(a, z - a) for k in (0, *range(2, b.num_columns))]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(packed, pa.binary())], [b.schema.names[0], *b.schema.names[2:], "grams"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(packed, pa.binary())], [b.schema.names[0], *b.schema.names[2:], "grams"]).filter(own)
 
 
 #: Documents of a group that are compared at once; larger groups are compared tile by tile.
 TILE = 1024
 
 
-def _linked(docs: DataFrame, n: int, threshold: float, groups: int, sketch: int, small: int, every: bool) -> DataFrame:
-    """(a, b, jaccard): verified pairs of distinct sets, and of each copy with the first of its set."""
+def _linked(docs: DataFrame, n: int, threshold: float, groups: int, sketch: int, small: int, every: bool, copies: bool) -> DataFrame:
+    """(a, b, jaccard): verified pairs of documents with distinct sets, and pairs of equal sets.
+
+    With ``copies`` all documents of a set stand in its pairs; without, the
+    first of them does, and the others pair with it.
+    """
     _spark.session(docs)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").alias("text")).where("id is not null and text is not null")
     points = rows.mapInArrow(lambda b: _points(b, n, groups, sketch, small, threshold), "id bigint, size int, same bigint, vec binary, keys array<bigint>")
     points = _spark.checkpoint(points)
-    first = points.groupBy("same", "size").agg(F.min("id").alias("first"))
-    copies = _spark.checkpoint(
-        points.select("same", "size", "id").distinct().join(first, ["same", "size"]).where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
-    )
-    # a doc_id with several texts can be a copy by one and the first of another: its set goes with its number
-    later = copies.select(F.col("b").alias("id")).distinct()
-    lone = points.join(later.hint("shuffle_hash"), "id", "left_anti").unionByName(points.join(later.hint("shuffle_hash"), "id", "left_semi").join(first, ["same", "size"]).where("id = first").drop("first"))
-    lone = _spark.checkpoint(lone.select("id", "size", "vec", "keys"))
+    # from here on a point is a set, by its number; a doc_id with several texts is in several
+    members = _spark.checkpoint(points.select("same", "id").distinct().groupBy("same").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+    lone = members.select("same", F.col("ids")[0].alias("id")).join(points, ["same", "id"]).dropDuplicates(["same"]).select(F.col("same").alias("id"), "size", "vec", "keys")
+    lone = _spark.checkpoint(lone)
     blocks = lone.select(F.explode("keys").alias("key"), "id").repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda b: shared_rows(b), "key bigint, id bigint")
     keyed = lone.select("id", "size", "vec").join(blocks.groupBy("id").agg(F.collect_set("key").alias("shared")).hint("shuffle_hash"), "id").select(F.explode("shared").alias("key"), "id", "size", "vec")
     near = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _search(b, groups, threshold), "a bigint, b bigint").distinct()
-    # surviving pairs make groups; each set travels to its group once, or once a row of tiles of a large one
+    # surviving pairs make groups; each set travels to its group once, or once a row of tiles of a large one, with its documents
     found = components(near)
     tiles = F.ceil(F.col("n") / TILE).cast("int")
-    member = found.join(found.groupBy("root").agg(F.count("*").alias("n")), "root").select(F.col("node").alias("id"), "root", tiles.alias("m"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("tile"))
-    sets = rows.join(member.hint("shuffle_hash"), "id").select("id", "text", "root", "m", "tile").mapInArrow(lambda b: _sets(b, n), "id bigint, root bigint, m int, tile int, grams binary")
-    other = sets.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("root", F.least("tile", "u").alias("one"), F.greatest("tile", "u").alias("two"), "tile", "id", "grams")
+    member = found.join(found.groupBy("root").agg(F.count("*").alias("n")), "root").select("node", "root", tiles.alias("m"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("tile"))
+    shown = F.col("ids") if copies else F.slice("ids", 1, 1)
+    member = member.join(members, F.col("node") == F.col("same")).select(F.col("ids")[0].alias("id"), "node", "root", "m", "tile", shown.alias("ids"))
+    sets = rows.join(member.hint("shuffle_hash"), "id").select(F.col("node").alias("id"), "text", "root", "m", "tile", "ids").mapInArrow(lambda b: _sets(b, n), "id bigint, root bigint, m int, tile int, ids array<bigint>, grams binary")
+    other = sets.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("root", F.least("tile", "u").alias("one"), F.greatest("tile", "u").alias("two"), "tile", "id", "grams", "ids")
     checked = other.repartition("root", "one", "two").sortWithinPartitions("root", "one", "two").mapInArrow(lambda b: _tiles(b, threshold, every), "a bigint, b bigint, jaccard double")
-    return checked.unionByName(copies)
+    equal = members.where(F.size("ids") > 1)
+    if copies:
+        parts = equal.select("ids", F.explode(F.sequence(F.lit(0), F.floor((F.size("ids") - 2) / TILE).cast("int"))).alias("part"))
+        return checked.unionByName(parts.repartition("ids", "part").mapInArrow(_copies, "a bigint, b bigint, jaccard double"))
+    return checked.unionByName(equal.select(F.col("ids")[0].alias("a"), F.explode(F.slice("ids", 2, F.size("ids"))).alias("b"), F.lit(1.0).alias("jaccard")))
 
 
 def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, groups: int = GROUPS, sketch: int = SKETCH, small: int = SMALL) -> DataFrame:
-    """(doc_id, other_doc_id, jaccard) of the pairs at the threshold or above, doc_id < other_doc_id.
+    """(doc_id, other_doc_id, jaccard) of the pairs at the threshold or above, doc_id < other_doc_id, with equal sets collapsed.
 
     Of documents with equal sets, all pair with the first of them at 1.0, and
     only that one stands in their pairs with other documents.
     """
-    found = _linked(docs, n, threshold, groups, sketch, small, every=True)
+    found = _linked(docs, n, threshold, groups, sketch, small, every=True, copies=False)
+    return found.select(F.col("a").alias("doc_id"), F.col("b").alias("other_doc_id"), "jaccard")
+
+
+def all_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, groups: int = GROUPS, sketch: int = SKETCH, small: int = SMALL) -> DataFrame:
+    """(doc_id, other_doc_id, jaccard) of all pairs at the threshold or above, doc_id < other_doc_id, copies among them."""
+    found = _linked(docs, n, threshold, groups, sketch, small, every=True, copies=True)
     return found.select(F.col("a").alias("doc_id"), F.col("b").alias("other_doc_id"), "jaccard")
 
 
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents that pairs join, directly or through others, to one of smaller doc_id."""
-    found = _linked(docs, n, threshold, GROUPS, SKETCH, SMALL, every=False)
+    found = _linked(docs, n, threshold, GROUPS, SKETCH, SMALL, every=False, copies=False)
     gone = components(found.select("a", "b")).where("node <> root").select(F.col("node").alias("__node"))
     return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("bigint") == gone["__node"], "left_anti")

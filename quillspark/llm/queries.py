@@ -40,7 +40,7 @@ def op6_quality_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.pairs(_spark.read(spark, sf_dir, "documents"))
+    return jaccard_join.all_pairs(_spark.read(spark, sf_dir, "documents"))
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

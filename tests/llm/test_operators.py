@@ -270,6 +270,42 @@ def test_jaccard_pairs(spark):
     assert jaccard_join.pairs(docs.limit(0)).count() == 0
 
 
+def plain_pairs(texts):
+    """By brute force, all pairs at 0.5 or above."""
+    grams = [set(jaccard_join.gram_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), 2)[0][0].tolist()) for t in texts]
+    out = {}
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            if grams[a] & grams[b] and (j := len(grams[a] & grams[b]) / len(grams[a] | grams[b])) >= 0.5:
+                out[a, b] = j
+    return out
+
+
+def test_all_pairs(spark, monkeypatch):
+    texts = near_texts(random.Random(4))
+    texts += [texts[3], texts[50]] * 3
+    rng = random.Random(5)
+    base = words(rng, 30)
+    texts += [" ".join(base)] * 7 + [" ".join([*base[:-1], "other"])] * 5
+    want = plain_pairs(texts)
+    got = jaccard_join.all_pairs(frame(spark, [*texts, None])).collect()
+    found = {(r.doc_id, r.other_doc_id): r.jaccard for r in got}
+    assert len(found) == len(got) and set(found) <= set(want) and all(abs(want[k] - v) < 1e-9 for k, v in found.items())
+    assert len(found) >= 0.99 * len(want) and {k for k, v in want.items() if v == 1} <= set(found)
+    twelve = range(len(texts) - 12, len(texts))
+    assert all((a, b) in found for a in twelve for b in twelve if a < b)
+    # a doc_id of two texts stands in the pairs of both, and of neither as the other
+    x, y = (" ".join(words(rng, 40)) for _ in range(2))
+    docs = spark.createDataFrame([(1, x), (2, x), (2, y), (2, y), (3, y), (4, x + " more")], "doc_id bigint, text string")
+    assert [r[:2] for r in sorted(jaccard_join.all_pairs(docs).collect())] == [(1, 2), (1, 4), (2, 3), (2, 4)]
+    # in pieces
+    monkeypatch.setattr(jaccard_join, "ROWS", 5)
+    lists = [np.arange(k) + 10 * k for k in (3, 1, 7)]
+    i, j = np.array([0, 0, 1, 2]), np.array([1, 2, 2, 0])
+    pieces = list(jaccard_join.expand(lists, lists, i, j, np.arange(4) / 4))
+    assert sorted((a, b, s) for p in pieces for a, b, s in zip(*p, strict=True)) == sorted((a, b, k / 4) for k in range(4) for a in lists[i[k]] for b in lists[j[k]])
+
+
 def test_large_group(spark):
     rng = random.Random(6)
     base = words(rng, 60)

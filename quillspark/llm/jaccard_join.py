@@ -11,10 +11,12 @@ on the sets themselves.
 Since counts of random groups don't keep unlike documents apart along any one
 axis, one tree over the corpus would compare nearly all pairs.  So trees are
 built in blocks: documents with the same two neighbouring values among the
-``SKETCH`` first n-grams of a fixed order by content (long n-grams before short
-ones, then by hash), and, for small sets, the same value among the first of an
-exact prefix.  This is the approximate part: a pair at the threshold shares no
-block with probability under 0.01.  Documents with equal sets are one point;
+``SKETCH`` first n-grams in the order of a hash, and, for small sets, the same
+value among the first of an exact prefix.  This is the approximate part: a pair
+at the threshold shares no block with probability under 0.01, whichever n-grams
+it differs in.  Since counts bound little where sets are large, a surviving pair
+is also compared on the first ``SAMPLE`` n-grams of its union, and dropped where
+these fall short of the threshold by more than ``SLACK`` standard deviations.  Documents with equal sets are one point;
 ``all_pairs`` lists every one of them in its pairs, ``pairs`` the first.
 
 Defined results: a text of fewer than ``N`` tokens is the set of its one
@@ -49,6 +51,10 @@ FULL = 255
 SKETCH = 24
 #: Sets of up to so many n-grams also make blocks of their exact prefix.
 SMALL = 32
+#: N-grams of a document, the first in the order, on which surviving pairs are compared before their sets are.
+SAMPLE = 64
+#: Standard deviations by which a sample may fall short of the threshold: 1 of 80,000 pairs at the threshold does.
+SLACK = 4.2
 #: Points in a leaf, and children of a node, of an R-tree.
 FANOUT = 16
 
@@ -57,13 +63,8 @@ def gram_sets(raw: np.ndarray, off: np.ndarray, n: int) -> list[tuple[np.ndarray
     """Of each row the sorted distinct n-gram hashes, and the order of the sketch."""
     t = _text.tokens(raw, off)
     g = _text.grams(t.hash, n)
-    size = t.end - t.start
-    span = size[: len(g)].copy()
-    for k in range(1, n):
-        span += size[k : k + len(g)]
-    # longer n-grams come first in the order: those of common words are short
-    shift = np.clip(span - 6, 0, 24).astype(np.uint64)
-    rank = _text.mix(g + np.uint64(7)) >> shift
+    # a plain hash order: in any order by content, changes of what comes first would fill the sketch
+    rank = _text.mix(g + np.uint64(7))
     out = []
     for a, b in zip(t.bounds[:-1].tolist(), t.bounds[1:].tolist(), strict=True):
         if b - a >= n:
@@ -94,8 +95,29 @@ def block_keys(h: np.ndarray, rank: np.ndarray, sketch: int, small: int, thresho
     return np.unique(np.concatenate(keys)) if keys else h[:0]
 
 
+def sample(rank: np.ndarray) -> np.ndarray:
+    """The first ``SAMPLE`` places in the order, 32 bits each; the largest number where there are fewer."""
+    first = np.sort((rank >> np.uint64(32)).astype("<u4"))[:SAMPLE]
+    return np.concatenate([first, np.full(SAMPLE - len(first), 0xFFFFFFFF, "<u4")])
+
+
+def alike(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether samples, row by row, allow the threshold."""
+    out = np.zeros(len(a), bool)
+    for at in range(0, len(a), 1 << 15):
+        both = np.sort(np.concatenate([a[at : at + (1 << 15)], b[at : at + (1 << 15)]], axis=1), axis=1)
+        there = both != 0xFFFFFFFF
+        twice = np.zeros(both.shape, bool)
+        twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & there[:, 1:]
+        place = np.cumsum(there & ~twice, axis=1)
+        n = np.minimum(place[:, -1], SAMPLE)
+        shared = (twice & (place <= SAMPLE)).sum(1)
+        out[at : at + (1 << 15)] = shared >= threshold * n - SLACK * np.sqrt(n * threshold * (1 - threshold))
+    return out
+
+
 def _points(batches: Iterator[pa.RecordBatch], n: int, groups: int, sketch: int, small: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """(id, size, same, vec, keys) of rows (doc_id, text) that have tokens; same identifies the set."""
+    """(id, size, same, vec, keys) of rows (doc_id, text) that have tokens; same identifies the set, vec has the counts and the sample."""
     for b in batches:
         ids = b.column(0).to_numpy(zero_copy_only=False)
         raw, off = _text.buffers(b.column(1))
@@ -109,7 +131,7 @@ def _points(batches: Iterator[pa.RecordBatch], n: int, groups: int, sketch: int,
                 same.append(_number(h))
                 count = np.bincount((h >> np.uint64(40)).astype(np.int64) % groups, minlength=groups)
                 # counts take a byte; where one doesn't fit, all are the largest, which bounds nothing
-                vec.append((count if count.max() < FULL else np.full(groups, FULL)).astype(np.uint8).tobytes())
+                vec.append((count if count.max() < FULL else np.full(groups, FULL)).astype(np.uint8).tobytes() + sample(rank).tobytes())
                 keys.append(block_keys(h, rank, sketch, small, threshold).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[a + np.array(at, np.int64)]), pa.array(size, pa.int32()), pa.array(same, pa.int64()), pa.array(vec, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
@@ -165,7 +187,8 @@ def _search(batches: Iterator[pa.RecordBatch], groups: int, threshold: float) ->
     """
     held: list | None = None
 
-    def solve(key: np.ndarray, ids: np.ndarray, size: np.ndarray, vec: np.ndarray) -> pa.RecordBatch:
+    def solve(key: np.ndarray, ids: np.ndarray, size: np.ndarray, both: np.ndarray) -> pa.RecordBatch:
+        vec, drawn = both[:, :groups], np.ascontiguousarray(both[:, groups:]).view("<u4")
         run = _text.run_ids(key)
         begin = np.flatnonzero(np.diff(run, prepend=-1))
         stop = np.append(begin[1:], len(key))
@@ -182,6 +205,8 @@ def _search(batches: Iterator[pa.RecordBatch], groups: int, threshold: float) ->
             sure = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j])
             i, j = i[sure], j[sure]
             sure = bound(vec[i], vec[j]) >= share * (size[i] + size[j]) - 1e-9
+            i, j = i[sure], j[sure]
+            sure = alike(drawn[i], drawn[j], threshold)
             left.append(i[sure])
             right.append(j[sure])
         for x, y in zip(begin[span > FANOUT].tolist(), stop[span > FANOUT].tolist(), strict=True):
@@ -189,6 +214,7 @@ def _search(batches: Iterator[pa.RecordBatch], groups: int, threshold: float) ->
             for k in range(y - x):
                 found = tree.search(vec[x + k], int(size[x + k]), threshold)
                 found = found[found > k]
+                found = found[alike(drawn[np.full(len(found), x + k)], drawn[x + found], threshold)]
                 left.append(np.full(len(found), x + k))
                 right.append(x + found)
         i = np.concatenate(left) if left else np.zeros(0, np.int64)
@@ -200,7 +226,7 @@ def _search(batches: Iterator[pa.RecordBatch], groups: int, threshold: float) ->
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, groups)]
+        rows = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, groups + 4 * SAMPLE)]
         if held is not None:
             rows = [np.concatenate([x, y]) for x, y in zip(held, rows, strict=True)]
         cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))

@@ -306,6 +306,33 @@ def test_all_pairs(spark, monkeypatch):
     assert sorted((a, b, s) for p in pieces for a, b, s in zip(*p, strict=True)) == sorted((a, b, k / 4) for k in range(4) for a in lists[i[k]] for b in lists[j[k]])
 
 
+@pytest.mark.parametrize("long", ["{:020x}", "https://example.org/{:016x}/index", "漢字漢字漢字漢字{:x}"])
+def test_blocks_of_long_changes(long):
+    rng = random.Random(8)
+    short = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    met = 0
+    for _ in range(200):
+        texts = [w := [rng.choice(short) for _ in range(200)], list(w)]
+        for at in range(0, 196, 14):
+            for t in texts:
+                t[at] = long.format(rng.randrange(1 << 60))
+        sets = [jaccard_join.gram_sets(raw := np.frombuffer(" ".join(t).encode(), np.uint8), np.array([0, len(raw)]), 2)[0] for t in texts]
+        assert len(np.intersect1d(sets[0][0], sets[1][0])) >= 0.5 * len(np.union1d(sets[0][0], sets[1][0]))
+        a, b = (jaccard_join.block_keys(h, rank, jaccard_join.SKETCH, jaccard_join.SMALL, 0.5) for h, rank in sets)
+        met += len(np.intersect1d(a, b)) > 0
+    assert met >= 198
+
+
+def test_samples():
+    rng = np.random.default_rng(3)
+    ranks = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+    for shared, own in ((200, 100), (20, 10), (2, 1), (40000, 20000)):  # at the threshold
+        pairs = [(c := ranks(shared), np.concatenate([c, ranks(own)]), np.concatenate([c, ranks(own)])) for _ in range(50)]
+        assert jaccard_join.alike(*(np.array([jaccard_join.sample(p[k]) for p in pairs]) for k in (1, 2)), 0.5).all()
+    apart = [[jaccard_join.sample(ranks(3000)) for _ in range(50)] for _ in range(2)]
+    assert not jaccard_join.alike(*map(np.array, apart), 0.5).any()
+
+
 def test_large_group(spark):
     rng = random.Random(6)
     base = words(rng, 60)

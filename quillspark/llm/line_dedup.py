@@ -2,10 +2,12 @@
 
 Lines are compared by a hash of their text without surrounding white space.
 Documents overlap if they share a line of at least ``MIN_LINE`` characters or a
-shortest run of lines that makes a block: a rare one, held by at most ``RARE``
-documents, pairs all of these; a more frequent one pairs each document with the
-first that holds it, which is where it stays, so none drops out and pairs grow
-with the lines, not their square.  Each pair is aligned by patience diff: lines unique on both sides
+run of lines that makes a block: a rare one, held by at most ``RARE`` documents,
+pairs all of these; a more frequent one pairs each document with the first that
+holds it.  A document that keeps part of a frequent run then goes on to the
+earlier holders after the first, twice as many in each round, until the run is
+deleted or none is left.  So the result is that of all pairs, while pairs grow
+with the lines, not their square, wherever an early holder settles them.  Each pair is aligned by patience diff: lines unique on both sides
 anchor the longest common increasing sequence, between anchors the alignment
 goes on recursively, and equal lines next to an anchor join it.  Aligned blocks
 of consecutive lines with at least ``MIN_BLOCK`` characters are deleted from
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _spark
@@ -105,31 +107,47 @@ def doomed(early: list[int], late: list[int], sizes: list[int], min_block: int)
     return out
 
 
+def runs(h: list[int], n: list[int], min_block: int) -> Iterator[tuple[int, list[int]]]:
+    """(key, line numbers) of the runs of lines that make a block and would not without their first line, or are the shortest from it on.
+
+    Every line of a block of consecutive lines is in such a run within the block.
+    """
+    at = [k for k, v in enumerate(h) if v]
+    for start in range(len(at)):
+        key = total = 0
+        for stop in range(start, len(at)):
+            k = at[stop]
+            if total >= min_block and total + n[k] - n[at[start]] >= min_block:
+                break
+            total += n[k]
+            key = (key * 0x9E3779B97F4A7C15 + h[k]) & 0xFFFFFFFFFFFFFFFF
+            if total >= min_block:
+                yield key - (1 << 64) if key >> 63 else key, at[start : stop + 1]
+
+
 def _runs(batches: Iterator[pa.RecordBatch], min_line: int, min_block: int) -> Iterator[pa.RecordBatch]:
-    """(id, key) of each long line and of each shortest run of lines from a line on that makes a block."""
+    """(id, key) of each long line and of each run of lines that makes a block."""
     for b in batches:
         ids, keys = [], []
         for doc, h, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            at = [k for k, v in enumerate(h) if v]
-            found = {h[k] for k in at if n[k] >= min_line}
-            stop = total = 0
-            for start in range(len(at)):
-                while stop < len(at) and total < min_block:
-                    total += n[at[stop]]
-                    stop += 1
-                if total < min_block:
-                    break
-                if stop - start > 1:
-                    key = 0
-                    for x in range(start, stop):
-                        key = (key * 0x9E3779B97F4A7C15 + h[at[x]]) & 0xFFFFFFFFFFFFFFFF
-                    found.add(key - (1 << 64) if key >> 63 else key)
-                total -= n[at[start]]
+            found = {v for v, k in zip(h, n, strict=True) if v and k >= min_line}
+            found.update(key for key, _ in runs(h, n, min_block))
             ids += [doc] * len(found)
             keys += found
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], ["id", "line"])
 
 
+def _left(batches: Iterator[pa.RecordBatch], min_block: int) -> Iterator[pa.RecordBatch]:
+    """(id, line, rank) of rows (id, h, n, held, gone): the held keys (line, rank) of runs that aren't wholly deleted."""
+    for b in batches:
+        out = []
+        for doc, h, n, held, gone in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+            gone = set(gone or ())
+            left = {key for key, at in runs(h, n, min_block) if not gone.issuperset(at)}
+            out += [(doc, x["line"], x["rank"]) for x in held if x["line"] in left]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int32())], ["id", "line", "rank"])
+
+
 def _align(batches: Iterator[pa.RecordBatch], min_block: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, lines = [], []
@@ -157,12 +175,31 @@ def deletions(docs: DataFrame, min_line: int = MIN_LINE, rare: int = RARE, min_b
     star = shared.where("id > first").select(F.col("first").alias("early"), F.col("id").alias("late"))
     few = shared.where((F.col("df") > 2) & (F.col("df") <= rare)).groupBy("line").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     clique = few.select(F.explode("ids").alias("early"), "ids").select("early", F.explode("ids").alias("late")).where("early < late")
-    pairs = star.unionByName(clique).distinct()
+    pairs = star.unionByName(clique)
     once = lines.groupBy("id").agg(F.min_by(F.struct("h", "n"), F.struct("h", "n")).alias("x")).select("id", "x.h", "x.n")
-    early = pairs.join(once.select(F.col("id").alias("early"), F.col("h").alias("eh")), "early")
-    both = early.join(once.select(F.col("id").alias("late"), F.col("h").alias("lh"), "n"), "late")
-    found = both.select("late", "eh", "lh", "n").mapInArrow(lambda b: _align(b, min_block), "__id bigint, __gone array<int>")
-    return found.groupBy("__id").agg(F.array_distinct(F.flatten(F.collect_list("__gone"))).alias("__gone"))
+
+    def align(pairs: DataFrame) -> DataFrame:
+        early = pairs.distinct().join(once.select(F.col("id").alias("early"), F.col("h").alias("eh")), "early")
+        both = early.join(once.select(F.col("id").alias("late"), F.col("h").alias("lh"), "n"), "late")
+        return both.select("late", "eh", "lh", "n").mapInArrow(lambda b: _align(b, min_block), "__id bigint, __gone array<int>")
+
+    def together(found: DataFrame) -> DataFrame:
+        return _spark.checkpoint(found.groupBy("__id").agg(F.array_distinct(F.flatten(F.collect_list("__gone"))).alias("__gone")))
+
+    gone = together(align(pairs))
+    frequent = _spark.checkpoint(shared.where(F.col("df") > rare).select("line", "id", F.row_number().over(Window.partitionBy("line").orderBy("id")).alias("rank")))
+    todo = frequent.where("rank > 2")
+    low = 2
+    while True:
+        mine = todo.groupBy("id").agg(F.collect_list(F.struct("line", "rank")).alias("held"))
+        state = once.join(mine.hint("shuffle_hash"), "id").join(gone.hint("shuffle_hash"), F.col("id") == F.col("__id"), "left").select("id", "h", "n", "held", "__gone")
+        todo = _spark.checkpoint(state.mapInArrow(lambda b: _left(b, min_block), "id bigint, line bigint, rank int").where(F.col("rank") > low))
+        if todo.isEmpty():
+            return gone
+        earlier = frequent.where((F.col("rank") >= low) & (F.col("rank") < 2 * low)).select("line", F.col("id").alias("early"), F.col("rank").alias("place"))
+        more = todo.join(earlier, "line").where("place < rank").select("early", F.col("id").alias("late"))
+        gone = together(gone.unionByName(align(more)))
+        low *= 2
 
 
 def dedup(docs: DataFrame, min_line: int = MIN_LINE, rare: int = RARE, min_block: int = MIN_BLOCK) -> DataFrame:

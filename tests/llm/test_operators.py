@@ -157,6 +157,25 @@ def test_line_dedup(spark):
     assert line_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_later_holders(spark):
+    p, q, r = ("\n".join(f"{name} line {k} of a paragraph of more than forty characters" for k in range(3)) for name in "pqr")
+    # the first holder has the blocks in another order than all the others, the ones after differ in what follows
+    texts = [f"{p}\n{q}", *(f"own {i}\n{q}\n{p}" for i in range(12))]
+    texts += [f"{r}\nfirst", *(f"{r}\ntail {k % 3}\nown {k}" for k in range(12))]
+    rng = random.Random(9)
+    lines = [f"shared line number {k} of forty characters and some" for k in range(6)] + [f"short {k}" for k in range(3)]
+    texts += ["\n".join([f"d{i}", *rng.sample(lines, 7)]) for i in range(40)]
+    want = {}
+    for i, t in enumerate(texts):
+        own, gone = t.split("\n"), set()
+        for e in texts[:i]:
+            gone.update(line_dedup.doomed([hash(x) for x in e.split("\n")], [hash(x) for x in own], [len(x) for x in own], line_dedup.MIN_BLOCK))
+        if left := [x for k, x in enumerate(own) if k not in gone]:
+            want[i] = "\n".join(left)
+    got = {x.doc_id: x.text for x in line_dedup.dedup(frame(spark, texts)).collect()}
+    assert got == want and got[5] == "own 4" and got[17] == "own 3"
+
+
 def toxic_rows(rng, n):
     out = []
     for i in range(n):

@@ -44,6 +44,33 @@ def vbyte_size(value: Column) -> Column:
     return F.when(value < 128, 1).when(value < 16384, 2).when(value < 2097152, 3).when(value < 268435456, 4).otherwise(5)
 
 
+def vbyte(value: Column) -> Column:
+    """A number below 2**35 as bytes of seven bits, the lowest first; the last one has its high bit set."""
+    size = vbyte_size(value)
+    seven = lambda k: F.shiftright(value, 7 * k).bitwiseAND(F.lit(127))
+    parts = [F.when(size > k, F.lpad(F.hex(F.when(size == k + 1, seven(k) + 128).otherwise(seven(k))), 2, "0")).otherwise("") for k in range(5)]
+    return F.unhex(F.concat(*parts))
+
+
+def vbyte_numbers(data: Column) -> Column:
+    """The numbers that bytes written one after the other stand for."""
+    byte = lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("bigint")
+    start = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(0).cast("bigint").alias("value"), F.lit(0).alias("bits"))
+
+    def step(held: Column, i: Column) -> Column:
+        b = byte(i)
+        value = held["value"] + F.call_function("shiftleft", b.bitwiseAND(F.lit(127)), held["bits"])
+        last = b >= 128
+        return F.struct(
+            F.when(last, F.concat(held["done"], F.array(value))).otherwise(held["done"]).alias("done"),
+            F.when(last, F.lit(0).cast("bigint")).otherwise(value).alias("value"),
+            F.when(last, F.lit(0)).otherwise(held["bits"] + 7).alias("bits"),
+        )
+
+    places = F.when(F.octet_length(data) > 0, F.sequence(F.lit(1), F.octet_length(data))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, start, step, lambda held: held["done"])
+
+
 def total(score: Column) -> Column:
     """Sum of scores that doesn't depend on their order, to six places."""
     return F.round(F.sum(score.cast("decimal(18,9)")).cast("double"), 6)

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import analyzer, scoring
 
 SEGMENT_DOCS = 500_000
 BLOCK_POSTINGS = 128
+#: Folders that the postings and terms of a written index lie in, by a hash of the term.
+BUCKETS = 16
+#: Rows of a table that is broadcast by hint, at most.
+BROADCAST_ROWS = 500_000
 
 
 @dataclass
@@ -23,11 +27,26 @@ class Index:
     terms: DataFrame
     segments: DataFrame
     path: str | None = None
+    segment_count: int | None = None
 
     @property
     def spark(self) -> SparkSession:
         return self.docs.sparkSession
 
+    def of(self, table: DataFrame, words: list[str]) -> DataFrame:
+        """The rows of postings or terms that have one of the words; of a written index only these words' folders are read."""
+        here = table.where(F.col("term").isin(words))
+        return here.where(F.col("bucket").isin(*(bucket(F.lit(w)) for w in words))) if self.path and words else here
+
+    def small(self, rows_a_segment: int) -> bool:
+        """Whether a table of so many rows a segment is known to be small enough for a broadcast."""
+        return self.segment_count is not None and self.segment_count * rows_a_segment <= BROADCAST_ROWS
+
+
+def bucket(term: Column) -> Column:
+    """The folder of a term."""
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
 
 def segments_of(docs: DataFrame, terms: DataFrame | None) -> DataFrame:
     """Statistics of each segment; documents without terms count."""
@@ -48,40 +67,91 @@ def terms_of(postings: DataFrame) -> DataFrame:
     return postings.groupBy("segment_id", "term").agg(F.count("*").alias("df"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it has fewer splits than there are cores: a small file may be one row group, which one task reads."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def build(df: DataFrame, fields: list[str], key: str = "doc_id", segment_docs: int = SEGMENT_DOCS) -> Index:
     """An index over the fields of df, lazily.
 
     ``key`` is a dense number in order of arrival; segments are runs of
-    ``segment_docs`` of them.  Terms are counted before they move: of a
-    document, which lies in one partition, one row a distinct term is shuffled,
-    and a query's filter on terms applies right behind the tokenising, so that
-    a search without a written index moves almost nothing.
+    ``segment_docs`` of them.  Terms are counted within their row: a document's
+    terms are sorted, and runs of equal ones counted, so that nothing is
+    shuffled for it.
     """
     norm = scoring.encode_length(F.col("dl"))
-    base = df.withColumn("doc_id", F.col(key).cast("bigint")).withColumn("segment_id", F.floor(F.col("doc_id") / segment_docs).cast("bigint"))
+    base = spread(df).withColumn("doc_id", F.col(key).cast("bigint")).withColumn("segment_id", F.floor(F.col("doc_id") / segment_docs).cast("bigint"))
     held = base.withColumn("__t", analyzer.field_tokens(fields)).withColumn("dl", F.size("__t")).withColumn("norm", norm).withColumn("ndl", scoring.decode_length(F.col("norm")))
     stored = [c for c in df.columns if c not in ("doc_id", "segment_id", "dl", "norm", "ndl")]
     docs = held.select("segment_id", "doc_id", "dl", "norm", "ndl", *(F.col(f"`{c}`") for c in stored))
-    postings = (
-        held.select("segment_id", "doc_id", "ndl", F.explode("__t").alias("term"))
-        .groupBy("doc_id", "term")
-        .agg(F.first("segment_id").alias("segment_id"), F.count("*").cast("int").alias("tf"), F.first("ndl").alias("ndl"))
-        .select("segment_id", "term", "doc_id", "tf", "ndl")
-    )
+    sorted_terms = held.where("dl > 0").select("segment_id", "doc_id", "dl", "ndl", F.sort_array("__t").alias("t"))
+    first = F.filter(F.sequence(F.lit(1), F.col("dl")), lambda i: (i == 1) | (F.element_at("t", i) != F.element_at("t", F.greatest(i - 1, F.lit(1)))))
+    runs = sorted_terms.select("segment_id", "doc_id", "dl", "ndl", "t", first.alias("f"))
+    each = F.transform("f", lambda i, k: F.struct(F.element_at("t", i).alias("term"), (F.coalesce(F.get("f", k + 1), F.col("dl") + 1) - i).cast("int").alias("tf")))
+    postings = runs.select("segment_id", "doc_id", "ndl", F.inline(each)).select("segment_id", "term", "doc_id", "tf", "ndl")
     terms = terms_of(postings)
     return Index(docs, postings, terms, segments_of(docs, None))
 
 
-def write(index: Index, path: str, mode: str = "overwrite") -> Index:
-    """The index as Parquet; postings sorted by term, so that a term's row groups are few.
+def put(index: Index, path: str, mode: str, above: int = -1) -> None:
+    """Write docs and postings of an index, and terms and segments of those above a number from what was written.
 
-    Postings are written once and the statistics made from what was written.
+    A segment's postings go to a folder by a hash of their term, sorted by
+    term: one shuffle, in which no term is larger than its segment.  Segments
+    come last: what has no row there is in no search.
     """
     spark = index.spark
+    written = lambda t: spark.read.parquet(f"{path}/{t}").withColumn("segment_id", F.col("segment_id").cast("bigint")).where(F.col("segment_id") > above)
     index.docs.write.mode(mode).partitionBy("segment_id").parquet(f"{path}/docs")
-    index.postings.repartitionByRange("segment_id", "term", "doc_id").sortWithinPartitions("segment_id", "term", "doc_id").write.mode(mode).parquet(f"{path}/postings")
-    terms_of(spark.read.parquet(f"{path}/postings")).repartitionByRange("segment_id", "term").sortWithinPartitions("segment_id", "term").write.mode(mode).parquet(f"{path}/terms")
-    segments_of(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/terms")).write.mode(mode).parquet(f"{path}/segments")
+    named = index.postings.withColumn("bucket", bucket(F.col("term")))
+    named.repartition("segment_id", "bucket").sortWithinPartitions("bucket", "segment_id", "term", "doc_id").write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
+    terms = terms_of(written("postings")).withColumn("bucket", bucket(F.col("term")))
+    terms.repartition("segment_id", "bucket").sortWithinPartitions("bucket", "segment_id", "term").write.mode(mode).partitionBy("bucket").parquet(f"{path}/terms")
+    segments_of(written("docs"), written("terms")).coalesce(1).write.mode(mode).parquet(f"{path}/segments")
+
+
+def write(index: Index, path: str) -> Index:
+    """The index as Parquet, in place of what is there."""
+    put(index, path, "overwrite")
+    return open_index(index.spark, path)
+
+
+def append(index: Index, path: str) -> Index:
+    """The index' segments added to those at path, or written there if nothing is.
+
+    Numbers of segments and documents go on after those at path.
+    """
+    spark = index.spark
+    try:
+        there = open_index(spark, path)
+    except FileNotFoundError:
+        return write(index, path)
+    segment, doc = there.segments.agg(F.coalesce(F.max("segment_id"), F.lit(-1)), F.coalesce(F.max("max_doc_id"), F.lit(-1))).first()
+    moved = lambda df: df.withColumns({"segment_id": F.col("segment_id") + (segment + 1), "doc_id": F.col("doc_id") + (doc + 1)})
+    put(Index(moved(index.docs), moved(index.postings), index.terms, index.segments), path, "append", above=segment)
+    for table in ("docs", "postings", "terms", "segments"):
+        spark.catalog.refreshByPath(f"{path}/{table}")
+    return open_index(spark, path)
+
+
+def merge_in_place(spark: SparkSession, path: str) -> Index:
+    """All segments at path as one; the old ones go once the new one is complete.  With one segment or none, nothing is done."""
+    index = open_index(spark, path)
+    if (index.segment_count or 0) <= 1:
+        return index
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fresh, old = f"{path.rstrip('/')}.merged", f"{path.rstrip('/')}.old"
+    for p in (fresh, old):
+        fs.delete(at(p), True)
+    write(merge(index), fresh)
+    for a, b in ((path, old), (fresh, path)):
+        if not fs.rename(at(a), at(b)):
+            raise OSError(f"can't rename {a} to {b}")
+    fs.delete(at(old), True)
+    spark.catalog.refreshByPath(path)
     return open_index(spark, path)
 
 
@@ -92,7 +162,8 @@ def open_index(spark: SparkSession, path: str) -> Index:
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         raise FileNotFoundError(f"index directory not found: {path}")
     table = lambda t: spark.read.parquet(f"{path}/{t}")
-    return Index(table("docs").withColumn("segment_id", F.col("segment_id").cast("bigint")), table("postings"), table("terms"), table("segments"), path)
+    segments = table("segments")
+    return Index(table("docs").withColumn("segment_id", F.col("segment_id").cast("bigint")), table("postings"), table("terms"), segments, path, segments.count())
 
 
 def reload(index: Index) -> Index:
@@ -124,7 +195,7 @@ def merge(index: Index) -> Index:
         out = df.join(base, "segment_id").withColumn("doc_id", F.col("doc_id") - F.col("min_doc_id") + F.col("__base")).withColumn("segment_id", F.lit(0).cast("bigint"))
         return out.select(*(F.col(f"`{c}`") for c in order))
 
-    docs, postings = moved(index.docs), moved(index.postings)
+    docs, postings = moved(index.docs), moved(index.postings.drop("bucket"))
     terms = index.terms.groupBy("term").agg(F.sum("df").cast("bigint").alias("df")).select(F.lit(0).cast("bigint").alias("segment_id"), "term", "df")
     return Index(docs, postings, terms, segments_of(docs, None))
 
@@ -144,7 +215,7 @@ def dictionary(index: Index) -> DataFrame:
 
 def seek(index: Index, term: str, target: int) -> DataFrame:
     """One row: the first document of at least target that holds the term."""
-    return index.postings.where((F.col("term") == term) & (F.col("doc_id") >= target)).agg(F.min("doc_id").alias("doc_id"))
+    return index.of(index.postings, [term]).where(F.col("doc_id") >= target).agg(F.min("doc_id").alias("doc_id"))
 
 
 def segment_of(index: Index, ids: DataFrame) -> DataFrame:
@@ -188,3 +259,23 @@ def offsets(index: Index) -> DataFrame:
     ahead = sums.select("segment_id", "__i", (F.sum("__n").over(Window.partitionBy("segment_id").orderBy("__i")) - F.col("__n")).alias("__ahead"))
     here = F.sum("term_bytes").over(Window.partitionBy("segment_id", "__i").orderBy("term")) - F.col("term_bytes")
     return sized.withColumn("__k", here).join(ahead, ["segment_id", "__i"]).select("segment_id", "term", "term_bytes", (F.col("__ahead") + F.col("__k")).alias("byte_offset"))
+
+
+def encoded(index: Index) -> DataFrame:
+    """(segment_id, term, block_id, data) of each 128 postings of a term: bytes of (gap, tf), the first gap of a block from 0."""
+    order = Window.partitionBy("segment_id", "term").orderBy("doc_id")
+    placed = index.postings.select("segment_id", "term", "doc_id", "tf", F.floor((F.row_number().over(order) - 1) / BLOCK_POSTINGS).cast("bigint").alias("block_id"))
+    within = Window.partitionBy("segment_id", "term", "block_id").orderBy("doc_id")
+    gap = F.col("doc_id") - F.lag("doc_id", 1, 0).over(within)
+    bytes_ = placed.select("segment_id", "term", "block_id", "doc_id", F.concat(scoring.vbyte(gap), scoring.vbyte(F.col("tf").cast("bigint"))).alias("b"))
+    # a block has 128 rows at most
+    joined = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "b"))), lambda x: F.hex(x["b"]))
+    return bytes_.groupBy("segment_id", "term", "block_id").agg(F.unhex(F.array_join(joined, "")).alias("data"))
+
+
+def decoded(blocks_: DataFrame) -> DataFrame:
+    """(segment_id, term, doc_id, tf) of encoded blocks."""
+    read = blocks_.select("segment_id", "term", scoring.vbyte_numbers(F.col("data")).alias("v"))
+    each = F.transform(F.sequence(F.lit(0), F.size("v") - 2, F.lit(2)), lambda i: F.struct(F.get("v", i).alias("gap"), F.get("v", i + 1).cast("int").alias("tf"), i.alias("i")))
+    sums = F.transform(each, lambda x: F.struct(F.aggregate(F.filter(each, lambda y: y["i"] <= x["i"]), F.lit(0).cast("bigint"), lambda a, y: a + y["gap"]).alias("doc_id"), x["tf"].alias("tf")))
+    return read.select("segment_id", "term", F.inline(sums))

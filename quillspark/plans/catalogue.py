@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from quillspark.plans import search
 from quillspark.plans.parser import parse
 from quillspark.plans.planner import compile_query, estimate, top_per_segment
 from quillspark.sources import jsonl
+from quillspark.sources.shared import shared_folder
 
 #: Documents of a segment in the queries about segments, and in those that have only one.
 SEGMENT, WHOLE = 250, 1 << 40
@@ -201,12 +203,10 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.counts(_index(spark, sf_dir, SEGMENT), "from OR ther")
 
 
-@_add("merge_equals_single", "SELECT 0::BIGINT AS differing")
+@_add("merge_equals_single", f"{_with()} SELECT term, doc_id, tf, dl, norm, (SELECT df FROM terms t WHERE t.term = p.term) AS df FROM postings p JOIN docs USING (doc_id)")
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged, single = indexing.merge(_index(spark, sf_dir, SEGMENT)), _index(spark, sf_dir)
-    a = merged.terms.select("term", "df").exceptAll(single.terms.select("term", "df"))
-    b = single.docs.select("doc_id", "dl", "norm").exceptAll(merged.docs.select("doc_id", "dl", "norm"))
-    return a.select("term").unionByName(b.select(F.col("doc_id").cast("string").alias("term"))).agg(F.count("*").alias("differing"))
+    merged = indexing.merge(_index(spark, sf_dir, SEGMENT))
+    return merged.postings.join(merged.docs.select("doc_id", "dl", "norm"), "doc_id").join(merged.terms.select("term", "df"), "term").select("term", "doc_id", "tf", "dl", "norm", "df")
 
 
 @_add(
@@ -310,12 +310,17 @@ def _estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimate(_index(spark, sf_dir), parse("(from OR ther) AND that NOT the"))
 
 
-_LINES = ['{"title": "Rust Web", "body": "build"}', "", "   ", "{bad", "[1]", '{"title": 5}', "null"]
+_LINES = "SELECT CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '  ' WHEN 2 THEN text ELSE to_json({'title': source, 'body': text})::VARCHAR END AS line FROM documents"
 
 
-@_add("ingest_rejects", "SELECT 4::BIGINT AS documents, 1::BIGINT AS malformed, 2::BIGINT AS blank")
+@_add(
+    "ingest_rejects",
+    f"WITH l AS ({_LINES}) SELECT count(*) FILTER (WHERE trim(line) <> '' AND json_valid(line)) AS documents, count(*) FILTER (WHERE trim(line) <> '' AND NOT json_valid(line)) AS malformed, count(*) FILTER (WHERE trim(line) = '') AS blank FROM l",
+)
 def _rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jsonl.counters(jsonl.from_lines(spark, _LINES))
+    kind = F.pmod("doc_id", F.lit(5))
+    line = F.when(kind == 0, "").when(kind == 1, "  ").when(kind == 2, F.col("text")).otherwise(F.to_json(F.struct(F.col("source").alias("title"), F.col("text").alias("body"))))
+    return jsonl.counters(_docs(spark, sf_dir).select(line.alias("value")))
 
 
 _BATCH = {1: "from", 2: "from OR ther", 3: "that OR that OR pour", 4: "the"}
@@ -331,6 +336,101 @@ def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.batch(_index(spark, sf_dir), _BATCH)
 
 
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def _folder(spark: SparkSession, sf_dir: str, kind: str) -> tuple[str, bool]:
+    """A folder for an index of this session and data, and whether it is new."""
+    name = (spark.sparkContext.applicationId, sf_dir, kind)
+    new = name not in _written
+    _written.setdefault(name, f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}")
+    return _written[name], new
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> Index:
+    """An index of segments that is written once a session and opened for each query."""
+    path, new = _folder(spark, sf_dir, "segments")
+    if new:
+        indexing.write(_index(spark, sf_dir, SEGMENT), path)
+    return indexing.open_index(spark, path)
+
+
+def _indexed(name: str, query: str, found: str) -> None:
+    @_add(name, _page(found, segment=SEGMENT))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return search.ranked(_stored(spark, sf_dir), query)
+
+
+_indexed("indexed_search", "from OR ther", _or("from", "ther"))
+_indexed("indexed_search_and", "from that", _and("from", "that"))
+_indexed("indexed_search_not", "that NOT from", f"SELECT * FROM ({_or('that')}) f WHERE doc_id NOT IN (SELECT doc_id FROM postings WHERE term = 'from')")
+
+
+@_add("indexed_postings", f"{_with(SEGMENT)} SELECT segment_id, term, doc_id, tf, ndl FROM postings")
+def _indexed_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).postings.select("segment_id", "term", "doc_id", "tf", "ndl")
+
+
+@_add("indexed_segments", f"{_with(SEGMENT)} SELECT s.*, (SELECT count(*) FROM terms t WHERE t.segment_id = s.segment_id) AS term_count FROM segments s")
+def _indexed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).segments
+
+
+@_add("indexed_stats", f"{_with(SEGMENT)} SELECT (SELECT sum(doc_count)::BIGINT FROM segments) AS total_docs, (SELECT count(*) FROM segments) AS total_segments, (SELECT count(*) FROM terms) AS total_terms")
+def _indexed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexing.stats(indexing.reload(_stored(spark, sf_dir)))
+
+
+@_add("indexed_fetch", f"{_with(SEGMENT)}, found AS ({_or('from', 'ther')}), page AS (SELECT doc_id, score FROM found ORDER BY score DESC, doc_id LIMIT 10) SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id, score, text FROM page JOIN documents USING (doc_id)")
+def _indexed_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.hits(_stored(spark, sf_dir), "from OR ther").withColumn("rank", F.col("rank").cast("bigint"))
+
+
+#: Documents of the first of two indexes that are put together; a multiple of a segment's.
+_FIRST = 2 * SEGMENT
+
+
+@_add("indexed_append", f"{_with(SEGMENT)}, found AS ({_or('from', 'ther')}) SELECT segment_id, doc_id, score FROM found")
+def _indexed_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, new = _folder(spark, sf_dir, "append")
+    if new:
+        docs = _docs(spark, sf_dir).select("doc_id", "text")
+        parts = docs.where(F.col("doc_id") < _FIRST), docs.where(F.col("doc_id") >= _FIRST).withColumn("doc_id", F.col("doc_id") - _FIRST)
+        for part in parts:
+            indexing.append(indexing.build(part, ["text"], segment_docs=SEGMENT), path)
+    return compile_query(indexing.open_index(spark, path), parse("from OR ther"), 10)
+
+
+@_add("indexed_merge", f"{_with()}, found AS ({_or('from', 'ther')}) SELECT segment_id, doc_id, score FROM found")
+def _indexed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, new = _folder(spark, sf_dir, "merge")
+    if new:
+        indexing.write(_index(spark, sf_dir, SEGMENT), path)
+        indexing.merge_in_place(spark, path)
+    return compile_query(indexing.open_index(spark, path), parse("from OR ther"), 10)
+
+
+def _hex(value: str) -> str:
+    """Hexadecimal bytes of seven bits of a number, in SQL."""
+    parts = [f"CASE WHEN {value} >= {1 << 7 * k if k else 0} THEN printf('%02X', (({value} >> {7 * k}) & 127)::INT + CASE WHEN {value} < {1 << 7 * (k + 1)} THEN 128 ELSE 0 END) ELSE '' END" for k in range(5)]
+    return " || ".join(parts)
+
+
+@_add(
+    "postings_codec",
+    f"""{_with()}, b AS (SELECT segment_id, term, doc_id, tf, (row_number() OVER (PARTITION BY segment_id, term ORDER BY doc_id) - 1) // 128 AS block_id FROM postings),
+    g AS (SELECT *, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY segment_id, term, block_id ORDER BY doc_id) AS gap FROM b)
+    SELECT segment_id, term, block_id, string_agg({_hex('gap')} || {_hex('tf')}, '' ORDER BY doc_id) AS data FROM g GROUP BY segment_id, term, block_id""",
+)
+def _codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexing.encoded(_index(spark, sf_dir)).withColumn("data", F.hex("data"))
+
+
+@_add("postings_decode", f"{_with(SEGMENT)} SELECT segment_id, term, doc_id, tf FROM postings")
+def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexing.decoded(indexing.encoded(_index(spark, sf_dir, SEGMENT)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each query by name."""
     return dict(_QUERIES)

@@ -19,9 +19,11 @@ def weighted_postings(index: Index, words: list[str]) -> DataFrame:
     that of its segment, the number of documents that of all segments.
     """
     words = sorted(set(words))
-    here = index.postings.where(F.col("term").isin(words))
+    here = index.of(index.postings, words)
     meta = index.segments.select("segment_id", "avgdl", F.sum("doc_count").over(Window.partitionBy(F.lit(0))).alias("n"))
-    df = index.terms.where(F.col("term").isin(words)).join(F.broadcast(meta), "segment_id")
+    df = index.of(index.terms, words).join(F.broadcast(meta), "segment_id").select("segment_id", "term", "df", "avgdl", "n")
+    if index.small(len(words)):  # words times segments: the postings stay where they are
+        df = F.broadcast(df)
     score = scoring.bm25(F.col("tf"), F.col("ndl"), F.col("avgdl"), scoring.idf(F.col("df"), F.col("n")))
     return here.join(df, ["segment_id", "term"]).select("segment_id", "term", "doc_id", score.alias("score"), scoring.over_ceiling(F.col("df"), F.col("n")).alias("common"))
 
@@ -42,7 +44,7 @@ def _needed(index: Index, words: list[str]) -> DataFrame:
     """(segment_id, need): how many of the words a segment's documents must hold; too common ones aren't asked for."""
     words = sorted(set(words))
     n = index.segments.select("segment_id", F.sum("doc_count").over(Window.partitionBy(F.lit(0))).alias("n"))
-    common = index.terms.where(F.col("term").isin(words)).join(F.broadcast(n), "segment_id").where(scoring.over_ceiling(F.col("df"), F.col("n"))).groupBy("segment_id").agg(F.count("*").alias("c"))
+    common = index.of(index.terms, words).join(F.broadcast(n), "segment_id").where(scoring.over_ceiling(F.col("df"), F.col("n"))).groupBy("segment_id").agg(F.count("*").alias("c"))
     return index.segments.select("segment_id").join(common, "segment_id", "left").select("segment_id", (F.lit(len(words)) - F.coalesce("c", F.lit(0))).alias("need"))
 
 
@@ -116,7 +118,7 @@ def estimate(index: Index, query: Query) -> DataFrame:
     NOT excludes isn't counted.
     """
     words = sorted(set(all_words(query)))
-    counts = index.terms.where(F.col("term").isin(words)).agg(*(F.coalesce(F.sum(F.when(F.col("term") == w, F.col("df"))), F.lit(0)).cast("bigint").alias(f"w{k}") for k, w in enumerate(words)))
+    counts = index.of(index.terms, words).agg(*(F.coalesce(F.sum(F.when(F.col("term") == w, F.col("df"))), F.lit(0)).cast("bigint").alias(f"w{k}") for k, w in enumerate(words)))
 
     def bound(q: Query) -> F.Column:
         if isinstance(q, Term):

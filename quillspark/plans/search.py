@@ -14,33 +14,52 @@ from quillspark.functions import scoring
 from quillspark.operators import indexing
 from quillspark.operators.indexing import Index
 from quillspark.plans.parser import Or, Term, parse, words_of
-from quillspark.plans.planner import compile_query, top_per_segment, weighted_postings
+from quillspark.plans.planner import compile_query, weighted_postings
 
 
-def ranked(index: Index, query: str, limit: int = 10, offset: int = 0, compat: bool = False) -> DataFrame:
-    """(doc_id, score) of a page, best first and by doc_id where scores are equal."""
+#: Rows of a page that travel to all executors, at most.
+PAGE_ROWS = 100_000
+
+
+def _page(found: DataFrame, limit: int, offset: int) -> DataFrame:
+    """(segment_id, doc_id, score) of a page, best first and by doc_id where scores are equal."""
+    return found.select("segment_id", "doc_id", "score").orderBy(F.desc("score"), "doc_id").offset(offset).limit(limit)
+
+
+def _found(index: Index, query: str, limit: int, offset: int, compat: bool) -> DataFrame:
     if limit < 0 or offset < 0:
         raise ValueError("limit and offset can't be negative")
-    found = compile_query(index, parse(query), limit + offset, compat)
-    return found.select("doc_id", "score").orderBy(F.desc("score"), "doc_id").offset(offset).limit(limit)
+    return compile_query(index, parse(query), limit + offset, compat)
 
 
-def hits(index: Index, query: str, limit: int = 10, offset: int = 0, compat: bool = False) -> DataFrame:
-    """(rank, doc_id, score, ...stored) of a page: documents are fetched for its rows alone."""
-    page = ranked(index, query, limit, offset, compat)
-    stored = index.docs.drop("segment_id", "dl", "norm", "ndl")
-    # a page has at most limit rows
-    found = stored.join(F.broadcast(page), "doc_id", "right")
-    rest = [c for c in stored.columns if c != "doc_id"]
+def ranked(index: Index, query: str, limit: int = 10, offset: int = 0, compat: bool = False) -> DataFrame:
+    """(doc_id, score) of a page, best first and by doc_id where scores are equal."""
+    return _page(_found(index, query, limit, offset, compat), limit, offset).select("doc_id", "score")
+
+
+def _fetched(index: Index, page: DataFrame, limit: int, offset: int) -> DataFrame:
+    """A page with ranks and stored columns: its rows go to the documents, which stay where they are and are read in its segments alone."""
+    page = F.broadcast(page) if limit <= PAGE_ROWS else page
+    found = index.docs.drop("dl", "norm", "ndl").join(page, ["segment_id", "doc_id"])
+    rest = [c for c in index.docs.columns if c not in ("segment_id", "doc_id", "dl", "norm", "ndl")]
     place = F.row_number().over(indexing.Window.orderBy(F.desc("score"), "doc_id")) + F.lit(offset)
     return found.select(place.alias("rank"), "doc_id", "score", *(F.col(f"`{c}`") for c in rest))
 
 
+def hits(index: Index, query: str, limit: int = 10, offset: int = 0, compat: bool = False) -> DataFrame:
+    """(rank, doc_id, score, ...stored) of a page: documents are fetched for its rows alone."""
+    return _fetched(index, _page(_found(index, query, limit, offset, compat), limit, offset), limit, offset)
+
+
+def _totals(found: DataFrame, k: int) -> DataFrame:
+    """One row: total_hits, the rows kept of each segment, and total_matches, all that match."""
+    each = found.groupBy("segment_id").agg(F.count("*").alias("n"))
+    return each.agg(F.coalesce(F.sum(F.least("n", F.lit(k))), F.lit(0)).cast("bigint").alias("total_hits"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_matches"))
+
+
 def counts(index: Index, query: str, limit: int = 10, offset: int = 0, compat: bool = False) -> DataFrame:
     """One row: total_hits, the rows kept of each segment for the page, and total_matches, all that match."""
-    found = compile_query(index, parse(query), limit + offset, compat)
-    kept = top_per_segment(found, limit + offset).agg(F.count("*").alias("total_hits"))
-    return kept.crossJoin(found.agg(F.count("*").alias("total_matches")))
+    return _totals(_found(index, query, limit, offset, compat), limit + offset)
 
 
 def batch(index: Index, queries: Mapping[int, str], limit: int = 10) -> DataFrame:
@@ -130,9 +149,15 @@ class SearchIndex:
         if not query.strip():
             raise ValueError("query is blank")
         began = time.perf_counter()
-        page = [r.asDict() for r in hits(self.index, query, limit, offset, compat).orderBy("rank").collect()]
-        total = counts(self.index, query, limit, offset, compat).first()
-        return Results(total["total_hits"], total["total_matches"], (time.perf_counter() - began) * 1000, page)
+        found = _found(self.index, query, limit, offset, compat)
+        # one job: the page and the totals share what is scored; a page without rows leaves its totals behind
+        page = _page(found, limit, offset)
+        both = _totals(found, limit + offset).join(_fetched(self.index, page, limit, offset).withColumn("__there", F.lit(True)), how="left")
+        rows = [r.asDict() for r in both.collect()]
+        total = rows[0]
+        names = ("total_hits", "total_matches", "__there")
+        hits_ = sorted(({k: v for k, v in r.items() if k not in names} for r in rows if r["__there"]), key=lambda h: h["rank"])
+        return Results(total["total_hits"], total["total_matches"], (time.perf_counter() - began) * 1000, hits_)
 
     def stats(self) -> dict:
         return indexing.stats(self.index).first().asDict() | {"index_size_bytes": indexing.size_in_bytes(self.index)}

@@ -15,10 +15,13 @@ def append(lines: DataFrame, path: str, fields: list[str], segment_id: int, base
     docs = jsonl.with_ids(jsonl.documents(lines).select("value", *(jsonl.text_field(F.col("doc"), f).alias(f) for f in fields))).withColumn("doc_id", F.col("doc_id") + base)
     index = indexing.build(docs, fields)
     spark = docs.sparkSession
-    for table in ("docs", "postings"):
-        frame = getattr(index, table).withColumn("segment_id", F.lit(segment_id).cast("bigint"))
-        frame.write.mode("overwrite").parquet(f"{path}/{table}/part={segment_id}")
-    return spark.read.parquet(f"{path}/docs/part={segment_id}").count()
+    numbered = lambda df: df.withColumn("segment_id", F.lit(segment_id).cast("bigint"))
+    written = lambda t: spark.read.parquet(f"{path}/{t}/part={segment_id}")
+    numbered(index.docs).write.mode("overwrite").parquet(f"{path}/docs/part={segment_id}")
+    numbered(index.postings).write.mode("overwrite").parquet(f"{path}/postings/part={segment_id}")
+    indexing.terms_of(written("postings")).write.mode("overwrite").parquet(f"{path}/terms/part={segment_id}")
+    indexing.segments_of(written("docs"), written("terms")).write.mode("overwrite").parquet(f"{path}/segments/part={segment_id}")
+    return written("docs").count()
 
 
 def stream(lines: DataFrame, path: str, fields: list[str], checkpoint: str) -> DataStreamWriter:
@@ -32,6 +35,4 @@ def stream(lines: DataFrame, path: str, fields: list[str], checkpoint: str) -> D
 
 def open_stream(spark: SparkSession, path: str) -> indexing.Index:
     """The index of all segments that a stream has written."""
-    docs, postings = (spark.read.parquet(f"{path}/{t}").drop("part") for t in ("docs", "postings"))
-    terms = indexing.terms_of(postings)
-    return indexing.Index(docs, postings, terms, indexing.segments_of(docs, None))
+    return indexing.Index(*(spark.read.parquet(f"{path}/{t}").drop("part") for t in ("docs", "postings", "terms", "segments")))

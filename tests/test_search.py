@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import scoring
 from quillspark.operators import indexing
 from quillspark.plans import search
 from quillspark.plans.parser import And, Not, Or, QueryError, Term, parse
@@ -270,3 +271,40 @@ def test_estimate_and_ranges(spark):
     assert {(r.doc_id, r.segment_id) for r in indexing.segment_of(index, ids).collect()} == {(0, 0), (3, 1), (9, None), (None, None)}
     page = search.as_json(search.hits(index, "c")).collect()
     assert '"doc_id":3' in page[0].hit and page[0]["rank"] == 1
+
+
+def test_append_and_merge_in_place(spark, tmp_path):
+    path = str(tmp_path / "index")
+    parts = [[("rust programming",), ("rust web",)], [("rust fast",), ("python slow",)], [("",)]]
+    for p in parts:
+        index = indexing.append(index_of(spark, p, ("body",)), path)
+    assert sorted((r.segment_id, r.doc_count, r.min_doc_id) for r in index.segments.collect()) == [(0, 2, 0), (1, 2, 2), (2, 1, 4)]
+    lazily = index_of(spark, [d for p in parts for d in p], ("body",), segment_docs=2)
+    assert found(index, "rust") == found(lazily, "rust")
+    merged = indexing.merge_in_place(spark, path)
+    assert merged.segment_count == 1 and found(merged, "rust") == found(indexing.merge(lazily), "rust")
+    assert {p.name for p in tmp_path.iterdir()} == {"index"}
+    again = indexing.merge_in_place(spark, path)
+    assert again.segment_count == 1 and indexing.stats(again).first().asDict() == {"total_docs": 5, "total_segments": 1, "total_terms": 6}
+
+
+def test_plans_of_a_written_index(spark, tmp_path):
+    docs = [("common word" if i % 2 else f"common other w{i}",) for i in range(3000)]
+    index = indexing.write(index_of(spark, docs, ("body",), segment_docs=1000), str(tmp_path / "index"))
+    page = search.hits(index, "word OR w10")
+    page.collect()
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    # words and the page travel, postings and documents stay where they are
+    assert "SortMergeJoin" not in plan and "BuildLeft" not in plan and "PartitionFilters" in plan and "bucket#" in plan
+
+
+def test_codecs(spark):
+    values = [0, 1, 127, 128, 300, 16383, 16384, 2097151, 2097152, 268435455, 268435456, (1 << 32) - 1]
+    df = spark.createDataFrame([(values,), ([],)], "v array<bigint>")
+    whole = df.select("v", F.unhex(F.array_join(F.transform("v", lambda x: F.hex(scoring.vbyte(x))), "")).alias("data"))
+    assert all(r.v == r.back for r in whole.select("v", scoring.vbyte_numbers(F.col("data")).alias("back")).collect())
+    one = spark.range(1).select(*(F.hex(scoring.vbyte(F.lit(v).cast("bigint"))).alias(f"v{v}") for v in (0, 5, 127, 128, 300))).first()
+    assert list(one) == ["80", "85", "FF", "0081", "2C82"]
+    index = index_of(spark, [("x" if i % 3 == 0 else "y x x",) for i in range(700)], ("body",))
+    back = indexing.decoded(indexing.encoded(index))
+    assert sorted(map(tuple, back.collect())) == sorted((r.segment_id, r.term, r.doc_id, r.tf) for r in index.postings.collect())

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import weakref
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.sources.shared import shared_folder
+
 _shipped: weakref.WeakSet = weakref.WeakSet()
 
 
@@ -34,16 +37,51 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, without its lineage.
+    """df written to the shared folder, without its lineage."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
+
+
+#: Bits of a bitmap that travels to all executors, at most: 32 MB.
+BITMAP_BITS = 1 << 28
+_PIECE = 1 << 15
+
+
+def likely(rows: DataFrame, value: Column, keys: DataFrame, most: int = BITMAP_BITS) -> DataFrame:
+    """The rows whose bigint value may be in the one column of keys, and perhaps a few more.
 
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset,
-    as in tests on one machine, a folder in the warehouse is used.
+    A bitmap of hashed keys, 16 to 32 bits a key but never above ``most`` bits
+    in all, is broadcast in pieces, so that only promising rows are moved by
+    the join that follows and decides.  Beyond that bound more rows pass, and
+    the result of the join stays the same.  Columns of rows pass through.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "quillspark-checkpoints")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    n = keys.count()
+    bits = min(most, max(_PIECE, 1 << (16 * n).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    hashed = keys.select(place(F.col(f"`{keys.columns[0]}`")).alias("h"))
+    bitmap = hashed.groupBy(F.shiftright("h", 15).alias("__piece")).agg(F.bitmap_construct_agg(F.col("h").bitwiseAND(F.lit(_PIECE - 1))).alias("__bits"))
+    order = rows.columns
+    at = rows.withColumn("__place", place(value)).withColumn("__of", F.shiftright("__place", 15))
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(F.col("__place").bitwiseAND(F.lit(_PIECE - 1)), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, F.col("__place").bitwiseAND(F.lit(7)).cast("int")) == 1
+    return at.join(F.broadcast(bitmap), F.col("__of") == F.col("__piece")).where(hit).select(*(F.col(f"`{c}`") for c in order))
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written as Parquet to the shared folder and read again, and its path."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/quillspark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove what written() wrote."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

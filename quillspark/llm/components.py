@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     nodes = loops.select(F.col("a").alias("node")).union(loops.select(F.col("b").alias("node"))).distinct()
     links = _spark.checkpoint(loops.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    while True:
+    while not links.isEmpty():
         # large star: every larger neighbour of a node goes to the smallest node of the neighbourhood
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -12,17 +12,26 @@ Since counts of random groups don't keep unlike documents apart along any one
 axis, one tree over the corpus would compare nearly all pairs.  So trees are
 built in blocks: documents with the same two neighbouring values among the
 ``SKETCH`` first n-grams in the order of a hash, and, for small sets, the same
-value among the first of an exact prefix.  This is the approximate part: a pair
-at the threshold shares no block with probability under 0.01, whichever n-grams
-it differs in.  Since counts bound little where sets are large, a surviving pair
-is also compared on the first ``SAMPLE`` n-grams of its union, and dropped where
-these fall short of the threshold by more than ``SLACK`` standard deviations.  Documents with equal sets are one point;
-``all_pairs`` lists every one of them in its pairs, ``pairs`` the first.
+value among the first of an exact prefix.  This is the approximate part: of
+pairs right at the threshold, two in a million share no block, whichever
+n-grams they differ in, and fewer of more alike ones.  Blocks of more than
+``BLOCK`` points are searched part against part, all of them, so that no block
+has to fit into one task.  Since counts bound little where sets are large, a
+surviving pair is also compared on the first ``SAMPLE`` n-grams of its union,
+and dropped where these fall short of the threshold by more than ``SLACK``
+standard deviations: one in a million at the threshold.
+
+Documents with equal sets are one point, and what stands for a set is its
+smallest doc_id.  Results are rows a document or pairs of sets, so that they
+don't grow with the square of a group of copies.
 
 Defined results: a text of fewer than ``N`` tokens is the set of its one
 shorter n-gram; null texts and texts without tokens join nothing; rows with a
-null doc_id are left out; of rows with equal doc_id each text counts, and no
-document pairs with itself; an empty table gives an empty result.
+null doc_id are left out; a doc_id with several texts is in the class of each of
+them, which makes them one class, and its links are those of all its texts;
+repeated rows count once; texts of any length are read whole; an empty table
+gives an empty result.  Only ``doc_id`` and ``text`` are read; ``one_of_each``
+passes all columns through, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,13 +57,15 @@ GROUPS = 256
 #: The largest count; a vector of nothing else leaves all overlaps possible.
 FULL = 255
 #: N-grams of a document that make blocks.
-SKETCH = 24
+SKETCH = 48
 #: Sets of up to so many n-grams also make blocks of their exact prefix.
-SMALL = 32
+SMALL = 48
 #: N-grams of a document, the first in the order, on which surviving pairs are compared before their sets are.
 SAMPLE = 64
-#: Standard deviations by which a sample may fall short of the threshold: 1 of 80,000 pairs at the threshold does.
-SLACK = 4.2
+#: Standard deviations by which a sample may fall short of the threshold.
+SLACK = 4.75
+#: Points of a block that are searched in one tree.
+BLOCK = 4096
 #: Points in a leaf, and children of a node, of an R-tree.
 FANOUT = 16
 
@@ -180,23 +191,68 @@ class RTree:
         return self.order[at[may(self.points[at], s, s)]]
 
 
+def _parts(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """(key, id, part) of rows (key, id) sorted by both, of keys with several ids.
+
+    Keys of the same ids get one key, so that what is alike in many n-grams is
+    searched once.  Of more ids than ``block`` each ``block`` make a part.
+    """
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    seen, last = 0, 0  # rows that are out already of a key that goes on, and this key
+
+    def out(key: np.ndarray, ids: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(part.astype(np.int32))], ["key", "id", "part"])
+
+    def whole(key: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        begin = np.flatnonzero(np.diff(_text.run_ids(key), prepend=-1))
+        span = np.diff(np.append(begin, len(key)))
+        mark = _text.mix(np.add.reduceat(_text.mix(ids.view(np.uint64) + np.uint64(1)), begin) + span.astype(np.uint64)).view(np.int64)
+        name = np.where(span > block, key[begin], mark)
+        return out(np.repeat(name, span), ids, (np.arange(len(key)) - np.repeat(begin, span)) // block)
+
+    def rest(key: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        return out(key, ids, (seen + np.arange(len(key))) // block)
+
+    for b in shared_rows(batches):
+        key, ids = (np.concatenate([h, b.column(c).to_numpy(zero_copy_only=False)]) for c, h in enumerate(held))
+        if not len(key):
+            continue
+        if seen:
+            n = int(np.searchsorted(key != last, True))
+            yield rest(key[:n], ids[:n])
+            seen, key, ids = (seen + n if n == len(key) else 0), key[n:], ids[n:]
+        cut = int(np.searchsorted(_text.run_ids(key), _text.run_ids(key)[-1], side="left")) if len(key) else 0
+        if cut:
+            yield whole(key[:cut], ids[:cut])
+        held = [key[cut:], ids[cut:]]
+        if len(held[0]) > block:
+            last = held[0][0]
+            yield rest(*held)
+            seen, held = len(held[0]), [key[:0], ids[:0]]
+    if len(held[0]):
+        yield whole(*held)
+
+
 def _search(batches: Iterator[pa.RecordBatch], groups: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """(a, b) of rows (key, id, size, vec) sorted by key: every point of a block is a query against the block's tree.
+    """(a, b) of rows (key, one, two, part, id, size, vec) sorted by the first three.
 
-    Points that surviving pairs join are each linked to the first of them.
+    The points of part ``one`` of a block are its tree, those of part ``two``
+    its queries.  Points that surviving pairs join are each linked to the first
+    of them.
     """
     held: list | None = None
 
-    def solve(key: np.ndarray, ids: np.ndarray, size: np.ndarray, both: np.ndarray) -> pa.RecordBatch:
+    def solve(run: np.ndarray, side: np.ndarray, ids: np.ndarray, size: np.ndarray, both: np.ndarray) -> pa.RecordBatch:
         vec, drawn = both[:, :groups], np.ascontiguousarray(both[:, groups:]).view("<u4")
-        run = _text.run_ids(key)
         begin = np.flatnonzero(np.diff(run, prepend=-1))
-        stop = np.append(begin[1:], len(key))
+        stop = np.append(begin[1:], len(run))
         left, right = [], []
         share = threshold / (1 + threshold)
         # blocks of one leaf, all at once: each row against the k-th after it in its block
         span = stop - begin
-        leaf = np.repeat(span <= FANOUT, span)
+        whole = np.maximum.reduceat(side, begin) == 0 if len(begin) else np.zeros(0, bool)
+        few = (span <= FANOUT) & whole
+        leaf = np.repeat(few, span)
         for k in range(1, FANOUT):
             i = np.flatnonzero(leaf[:-k] & (run[k:] == run[:-k])) if len(run) > k else np.zeros(0, np.int64)
             if not len(i):
@@ -209,32 +265,39 @@ def _search(batches: Iterator[pa.RecordBatch], groups: int, threshold: float) ->
             sure = alike(drawn[i], drawn[j], threshold)
             left.append(i[sure])
             right.append(j[sure])
-        for x, y in zip(begin[span > FANOUT].tolist(), stop[span > FANOUT].tolist(), strict=True):
-            tree = RTree(vec[x:y], size[x:y])
-            for k in range(y - x):
-                found = tree.search(vec[x + k], int(size[x + k]), threshold)
-                found = found[found > k]
-                found = found[alike(drawn[np.full(len(found), x + k)], drawn[x + found], threshold)]
-                left.append(np.full(len(found), x + k))
-                right.append(x + found)
+        for x, y, one in zip(begin[~few].tolist(), stop[~few].tolist(), whole[~few].tolist(), strict=True):
+            trees = np.arange(x, y) if one else x + np.flatnonzero(side[x:y] == 0)
+            asked = trees if one else x + np.flatnonzero(side[x:y])
+            tree = RTree(vec[trees], size[trees])
+            for k in asked.tolist():
+                found = trees[tree.search(vec[k], int(size[k]), threshold)]
+                found = found[found > k] if one else found
+                found = found[alike(drawn[np.full(len(found), k)], drawn[found], threshold)]
+                left.append(np.full(len(found), k))
+                right.append(found)
         i = np.concatenate(left) if left else np.zeros(0, np.int64)
         j = np.concatenate(right) if right else np.zeros(0, np.int64)
-        root = labels(len(key), i, j)
-        k = np.flatnonzero(root != np.arange(len(key)))
+        root = labels(len(run), i, j)
+        k = np.flatnonzero(root != np.arange(len(run)))
         return pa.RecordBatch.from_arrays([pa.array(ids[root[k]]), pa.array(ids[k])], ["a", "b"])
 
+    def ready(rows: list) -> pa.RecordBatch:
+        key, one, two, part, ids, size, vec = rows
+        return solve(_text.run_ids(key, one, two), ((part == two) & (one != two)).astype(np.int8), ids, size, vec)
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, groups + 4 * SAMPLE)]
+        rows = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in range(6)), np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, groups + 4 * SAMPLE)]
         if held is not None:
             rows = [np.concatenate([x, y]) for x, y in zip(held, rows, strict=True)]
-        cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
+        run = _text.run_ids(*rows[:3])
+        cut = int(np.searchsorted(run, run[-1], side="left"))
         if cut:
-            yield solve(*(c[:cut] for c in rows))
+            yield ready([c[:cut] for c in rows])
         held = [c[cut:] for c in rows]
     if held is not None:
-        yield solve(*held)
+        yield ready(held)
 
 
 def labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -287,112 +350,49 @@ def similar(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: f
     return at[0], at[1], overlap[at].astype(np.float64) / joined[at]
 
 
-#: Pairs that are put out at once.
-ROWS = 1 << 17
-
-
-def _pieces(count: np.ndarray) -> Iterator[slice]:
-    """Slices of rows with ``ROWS`` items together, or one row of more."""
-    total = np.cumsum(count)
-    a = 0
-    while a < len(count):
-        z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + ROWS, side="right")))
-        yield slice(a, z)
-        a = z
-
-
-def _items(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The items of all lists, where each list begins, and how long it is."""
-    count = np.array([len(x) for x in lists], np.int64)
-    return np.concatenate(lists), np.cumsum(count) - count, count
-
-
-def expand(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray, score: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, score): each item of left[i] with each of right[j], a bounded number at once."""
-    la, begin_a, count_a = _items(left)
-    lb, begin_b, count_b = _items(right)
-
-    def places(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        row = np.repeat(np.arange(len(count)), count)
-        return row, begin[row] + np.arange(len(row)) - (np.cumsum(count) - count)[row]
-
-    for s in _pieces(count_a[i]):
-        row, at = places(begin_a[i[s]], count_a[i[s]])
-        a, jj, js = la[at], j[s][row], score[s][row]
-        for t in _pieces(count_b[jj]):
-            row, at = places(begin_b[jj[t]], count_b[jj[t]])
-            yield a[t][row], lb[at], js[t][row]
-
-
-def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, jaccard) of rows (ids, part): all pairs whose first is in the part of ``TILE`` ids."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def flush() -> pa.RecordBatch:
-        a, b = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.ones(len(a)))], ["a", "b", "jaccard"])
-
-    for batch in batches:
-        n = 0
-        for ids, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = np.array(ids, np.int64)
-            for k in range(part * TILE, min((part + 1) * TILE, len(ids) - 1)):
-                out.append((np.full(len(ids) - k - 1, ids[k]), ids[k + 1 :]))
-                n += len(ids) - k - 1
-                if n >= ROWS:
-                    yield flush()
-                    n = 0
-        yield flush()
-
-
 def _tiles(batches: Iterator[pa.RecordBatch], threshold: float, every: bool) -> Iterator[pa.RecordBatch]:
-    """(a, b, jaccard) of rows (root, one, two, tile, id, grams, ids) sorted by the first three: the verified pairs of each group, between all their ids.
+    """What verified pairs are in rows (root, one, two, tile, node, first, n, grams) sorted by the first three.
 
-    Without ``every``, of the points that pairs join each is paired with the first.
+    With ``every`` the pairs (a, b, jaccard) of sets, by their first documents.
+    Else (node, a, b, links): each set of a pair, the first of the sets that
+    pairs join it to, its own first document, and how many documents its pairs
+    link it to; one row for each set of a tile.
     """
     held: list[tuple] = []
     at: tuple | None = None
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def solve(key: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def solve(key: tuple, rows: list[tuple]) -> pa.RecordBatch | None:
         rows = list({r[1]: r for r in rows}.values())  # repeated rows of a document
         left = [r for r in rows if r[0] == key[1]]
         right = [r for r in rows if r[0] != key[1]] if key[1] != key[2] else None
         if not left or right == [] or len(rows) < 2:
-            return
-        unpack = lambda rs: [np.frombuffer(r[2], "<u4") for r in rs]
+            return None
+        unpack = lambda rs: [np.frombuffer(r[4], "<u4") for r in rs]
         i, j, score = similar(unpack(left), unpack(right) if right else None, threshold)
-        x = [np.array(r[3], np.int64) for r in left]
-        y = [np.array(r[3], np.int64) for r in right] if right else x
-        if not every:
-            root = labels(len(left) + len(right or []), i, j + (len(left) if right else 0))
-            x = y = x + y if right else x
-            j = np.flatnonzero(root != np.arange(len(root)))
-            i, score = root[j], np.ones(len(j))
-        for found in expand(x, y, i, j, score):
-            out.append(found)
-            if sum(len(c[0]) for c in out) >= ROWS:
-                yield flush()
-
-    def flush() -> pa.RecordBatch:
-        a, b, j = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        out.clear()
-        ok = a != b
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok]), pa.array(j[ok], pa.float64())], ["a", "b", "jaccard"])
+        if right:
+            rows, j = left + right, j + len(left)
+        first = np.array([r[2] for r in rows], np.int64)
+        if every:
+            a, b = first[i], first[j]
+            ok = a != b
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok]), pa.array(score[ok])], ["a", "b", "jaccard"])
+        n = np.array([r[3] for r in rows], np.float64)
+        links = np.bincount(i, weights=n[j], minlength=len(rows)) + np.bincount(j, weights=n[i], minlength=len(rows))
+        root = labels(len(rows), i, j)
+        k = np.flatnonzero(links)
+        node = np.array([r[1] for r in rows], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(node[k]), pa.array(first[root[k]]), pa.array(first[k]), pa.array(links[k].astype(np.int64))], ["node", "a", "b", "links"])
 
     for batch in batches:
         keys = zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
-        for key, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in range(3, 7)), strict=True), strict=True):
+        for key, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in range(3, 8)), strict=True), strict=True):
             if key != at:
-                if held:
-                    yield from solve(at, held)
+                if held and (found := solve(at, held)) is not None:
+                    yield found
                 held, at = [], key
             held.append(row)
-        yield flush()
-    if held:
-        yield from solve(at, held)
-    yield flush()
+    if held and (found := solve(at, held)) is not None:
+        yield found
 
 
 def _number(h: np.ndarray) -> int:
@@ -414,61 +414,84 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(packed, pa.binary())], [b.schema.names[0], *b.schema.names[2:], "grams"]).filter(own)
 
 
-#: Documents of a group that are compared at once; larger groups are compared tile by tile.
+#: Sets of a group that are compared at once; larger groups are compared tile by tile.
 TILE = 1024
 
 
-def _linked(docs: DataFrame, n: int, threshold: float, groups: int, sketch: int, small: int, every: bool, copies: bool) -> DataFrame:
-    """(a, b, jaccard): verified pairs of documents with distinct sets, and pairs of equal sets.
-
-    With ``copies`` all documents of a set stand in its pairs; without, the
-    first of them does, and the others pair with it.
-    """
+def _members(docs: DataFrame, n: int, threshold: float, groups: int, sketch: int, small: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, text); (same, id) of the distinct sets and their documents; points of the sets (id, size, vec, keys), each by its number."""
     _spark.session(docs)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").alias("text")).where("id is not null and text is not null")
-    points = rows.mapInArrow(lambda b: _points(b, n, groups, sketch, small, threshold), "id bigint, size int, same bigint, vec binary, keys array<bigint>")
-    points = _spark.checkpoint(points)
-    # from here on a point is a set, by its number; a doc_id with several texts is in several
-    members = _spark.checkpoint(points.select("same", "id").distinct().groupBy("same").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    lone = members.select("same", F.col("ids")[0].alias("id")).join(points, ["same", "id"]).dropDuplicates(["same"]).select(F.col("same").alias("id"), "size", "vec", "keys")
-    lone = _spark.checkpoint(lone)
-    blocks = lone.select(F.explode("keys").alias("key"), "id").repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda b: shared_rows(b), "key bigint, id bigint")
-    keyed = lone.select("id", "size", "vec").join(blocks.groupBy("id").agg(F.collect_set("key").alias("shared")).hint("shuffle_hash"), "id").select(F.explode("shared").alias("key"), "id", "size", "vec")
-    near = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _search(b, groups, threshold), "a bigint, b bigint").distinct()
-    # surviving pairs make groups; each set travels to its group once, or once a row of tiles of a large one, with its documents
+    points = _spark.checkpoint(rows.mapInArrow(lambda b: _points(b, n, groups, sketch, small, threshold), "id bigint, size int, same bigint, vec binary, keys array<bigint>"))
+    ids = points.select("same", "id").distinct()
+    first = points.groupBy("same").agg(F.min("id").alias("id"))
+    lone = first.join(points, ["same", "id"]).dropDuplicates(["same"]).select(F.col("same").alias("id"), "size", "vec", "keys")
+    return rows, ids, _spark.checkpoint(lone)
+
+
+def _verified(rows: DataFrame, sets: DataFrame, points: DataFrame, n: int, threshold: float, groups: int, block: int, every: bool) -> DataFrame:
+    """The rows of ``_tiles`` for the sets (same, first, n)."""
+    keys = points.select(F.explode("keys").alias("key"), "id").repartition("key").sortWithinPartitions("key", "id")
+    blocks = _spark.checkpoint(keys.mapInArrow(lambda b: _parts(b, block), "key bigint, id bigint, part int"))
+    large = blocks.where("part > 0").groupBy("key").agg((F.max("part") + 1).alias("parts"))
+    cut = blocks.join(large, "key", "left").groupBy("id").agg(F.collect_set(F.struct("key", "part", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("held"))
+    keyed = points.select("id", "size", "vec").join(cut.hint("shuffle_hash"), "id").select(F.explode("held").alias("k"), "id", "size", "vec")
+    sides = keyed.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("k.parts") - 1))).select("k.key", F.least("k.part", "u").alias("one"), F.greatest("k.part", "u").alias("two"), "k.part", "id", "size", "vec")
+    order = ["key", "one", "two"]
+    near = sides.repartition(*order).sortWithinPartitions(*order).mapInArrow(lambda b: _search(b, groups, threshold), "a bigint, b bigint").distinct()
+    # surviving pairs make groups; each set travels to its group once, or once a row of tiles of a large one
     found = components(near)
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    member = found.join(found.groupBy("root").agg(F.count("*").alias("n")), "root").select("node", "root", tiles.alias("m"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("tile"))
-    shown = F.col("ids") if copies else F.slice("ids", 1, 1)
-    member = member.join(members, F.col("node") == F.col("same")).select(F.col("ids")[0].alias("id"), "node", "root", "m", "tile", shown.alias("ids"))
-    sets = rows.join(member.hint("shuffle_hash"), "id").select(F.col("node").alias("id"), "text", "root", "m", "tile", "ids").mapInArrow(lambda b: _sets(b, n), "id bigint, root bigint, m int, tile int, ids array<bigint>, grams binary")
-    other = sets.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("root", F.least("tile", "u").alias("one"), F.greatest("tile", "u").alias("two"), "tile", "id", "grams", "ids")
-    checked = other.repartition("root", "one", "two").sortWithinPartitions("root", "one", "two").mapInArrow(lambda b: _tiles(b, threshold, every), "a bigint, b bigint, jaccard double")
-    equal = members.where(F.size("ids") > 1)
-    if copies:
-        parts = equal.select("ids", F.explode(F.sequence(F.lit(0), F.floor((F.size("ids") - 2) / TILE).cast("int"))).alias("part"))
-        return checked.unionByName(parts.repartition("ids", "part").mapInArrow(_copies, "a bigint, b bigint, jaccard double"))
-    return checked.unionByName(equal.select(F.col("ids")[0].alias("a"), F.explode(F.slice("ids", 2, F.size("ids"))).alias("b"), F.lit(1.0).alias("jaccard")))
-
-
-def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, groups: int = GROUPS, sketch: int = SKETCH, small: int = SMALL) -> DataFrame:
-    """(doc_id, other_doc_id, jaccard) of the pairs at the threshold or above, doc_id < other_doc_id, with equal sets collapsed.
-
-    Of documents with equal sets, all pair with the first of them at 1.0, and
-    only that one stands in their pairs with other documents.
+    tiles = F.ceil(F.col("k") / TILE).cast("int")
+    member = found.join(found.groupBy("root").agg(F.count("*").alias("k")), "root").select("node", "root", tiles.alias("m"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("tile"))
+    member = _spark.checkpoint(member.join(sets.select(F.col("same").alias("node"), F.col("first").alias("id"), "n"), "node"))
+    texts = _spark.likely(rows, F.col("id"), member.select("id")).join(member.hint("shuffle_hash"), "id").select(F.col("node").alias("id"), "text", "root", "m", "tile", F.col("id").alias("first"), "n")
+    grams = texts.mapInArrow(lambda b: _sets(b, n), "id bigint, root bigint, m int, tile int, first bigint, n bigint, grams binary")
+    other = grams.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("root", F.least("tile", "u").alias("one"), F.greatest("tile", "u").alias("two"), "tile", F.col("id").alias("node"), "first", "n", "grams")
+    order = ["root", "one", "two"]
+    return other.repartition(*order).sortWithinPartitions(*order).mapInArrow(lambda b: _tiles(b, threshold, every), "a bigint, b bigint, jaccard double" if every else "node bigint, a bigint, b bigint, links bigint")
+
+
+def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, groups: int = GROUPS, sketch: int = SKETCH, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """(doc_id, other_doc_id, jaccard) of the pairs of distinct sets at the threshold or above, doc_id < other_doc_id.
+
+    A set is named by its smallest doc_id; what else has this set is in ``members``.
     """
-    found = _linked(docs, n, threshold, groups, sketch, small, every=True, copies=False)
-    return found.select(F.col("a").alias("doc_id"), F.col("b").alias("other_doc_id"), "jaccard")
+    rows, ids, points = _members(docs, n, threshold, groups, sketch, small)
+    sets = ids.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    return _verified(rows, sets, points, n, threshold, groups, block, every=True).select(F.col("a").alias("doc_id"), F.col("b").alias("other_doc_id"), "jaccard")
 
 
-def all_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, groups: int = GROUPS, sketch: int = SKETCH, small: int = SMALL) -> DataFrame:
-    """(doc_id, other_doc_id, jaccard) of all pairs at the threshold or above, doc_id < other_doc_id, copies among them."""
-    found = _linked(docs, n, threshold, groups, sketch, small, every=True, copies=True)
-    return found.select(F.col("a").alias("doc_id"), F.col("b").alias("other_doc_id"), "jaccard")
+def members(docs: DataFrame, n: int = N) -> DataFrame:
+    """(doc_id, first_doc_id): the smallest doc_id whose set equals that of the document."""
+    _, ids, _ = _members(docs, n, THRESHOLD, GROUPS, SKETCH, SMALL)
+    first = ids.groupBy("same").agg(F.min("id").alias("first_doc_id"))
+    return ids.join(first, "same").select(F.col("id").alias("doc_id"), "first_doc_id")
+
+
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, groups: int = GROUPS, sketch: int = SKETCH, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """(doc_id, class_id, links) of every document that is linked to another.
+
+    Two documents are linked if their sets reach the threshold, copies among
+    them; ``links`` counts a document's links, all of them verified, and
+    ``class_id`` is the smallest doc_id that links lead to, directly or through
+    others.
+    """
+    rows, ids, points = _members(docs, n, threshold, groups, sketch, small)
+    ids = _spark.checkpoint(ids)
+    sets = ids.groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    linked = _spark.checkpoint(_verified(rows, sets, points, n, threshold, groups, block, every=False))
+    # a document of several texts joins their classes
+    several = ids.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id")
+    joints = ids.join(several, "id").join(sets.select("same", "first"), "same").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    roots = components(linked.where("a <> b").select("a", "b").unionByName(joints))
+    links = linked.groupBy(F.col("node").alias("same")).agg(F.sum("links").alias("more"))
+    known = sets.join(links, "same", "left").select("same", "first", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links")).where("links > 0")
+    named = known.join(roots.withColumnRenamed("node", "first"), "first", "left").select("same", F.coalesce("root", "first").alias("class"), "links")
+    return ids.join(named, "same").groupBy(F.col("id").alias("doc_id")).agg(F.min("class").alias("class_id"), F.sum("links").alias("links"))
 
 
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents that pairs join, directly or through others, to one of smaller doc_id."""
-    found = _linked(docs, n, threshold, GROUPS, SKETCH, SMALL, every=False, copies=False)
-    gone = components(found.select("a", "b")).where("node <> root").select(F.col("node").alias("__node"))
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("bigint") == gone["__node"], "left_anti")
+    """docs without the documents of a class whose doc_id isn't the class'."""
+    gone = classes(docs, n, threshold).where("class_id < doc_id").select(F.col("doc_id").alias("__gone"))
+    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).join(gone.hint("shuffle_hash"), F.col("row.doc_id").cast("bigint") == F.col("__gone"), "left_anti")
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -39,8 +39,8 @@ def op6_quality_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(found.p_quality >= quality_embeddings.THRESHOLD)
 
 
-def op7_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.all_pairs(_spark.read(spark, sf_dir, "documents"))
+def op7_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(_spark.read(spark, sf_dir, "documents"))
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

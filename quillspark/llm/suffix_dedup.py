@@ -12,13 +12,16 @@ least ``LENGTH`` tokens.  All choices depend on content alone.
 
 Extension is exact: for every way in which a passage of ``LENGTH`` tokens can
 lie around a suffix, the suffixes are sorted by the whole passage and neighbours
-of different documents with equal passages are matches.  A group of suffixes of
-any size streams through in batches; distinct surroundings are carried on.
+of different documents with equal passages are matches.  Suffixes of a beginning
+that more than ``GROUP_ROWS`` of them share don't meet in one task: each of
+their passages is counted over all tasks for itself instead, with the same
+result.  Tokens and passages are compared by 64-bit hashes.
 
 Defined results: null, empty and short texts match nothing; a passage repeated
 only within one document isn't reported; rows with a null doc_id are left out;
-rows of equal doc_id count as one document; an empty table gives an empty
-result.  Spans count tokens (``_text.tokens``) from 0.
+rows of equal doc_id count as one document; texts of any length are read whole;
+an empty table gives an empty result; only ``doc_id`` and ``text`` are read,
+whatever other columns there are.  Spans count tokens (``_text.tokens``) from 0.
 """
 
 from __future__ import annotations
@@ -122,10 +125,15 @@ def _keys(batches: Iterator[pa.RecordBatch], length: int, k: int, window: int) -
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[a + row]), pa.array((at - t.bounds[row]).astype(np.int32))], ["key", "doc_id", "place"])
 
 
-def _surroundings(batches: Iterator[pa.RecordBatch], length: int, k: int, window: int) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id, place, tokens around it) of rows (doc_id, text, places): 32 bits a token, 0 beyond the text."""
+def _passages(batches: Iterator[pa.RecordBatch], length: int, window: int, apart: bool) -> Iterator[pa.RecordBatch]:
+    """The passages of ``length`` tokens that lie around the suffixes of rows (doc_id, text, places).
+
+    (key, doc_id, place, passages): the hashes of those that begin 0, 1, ...
+    tokens before the suffix, 0 where the text doesn't reach.  With ``apart``
+    each passage is a row (passage, doc_id, start).
+    """
     reach = length - window + 1
-    side = length - reach
+    before = np.arange(length - reach + 1)
     for b in batches:
         ids = b.column(0).to_numpy(zero_copy_only=False)
         raw, off = _text.buffers(b.column(1))
@@ -139,35 +147,29 @@ def _surroundings(batches: Iterator[pa.RecordBatch], length: int, k: int, window
             at = t.bounds[row] + place
             if not len(at):
                 continue
-            short = np.concatenate([(t.hash >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.zeros(1, np.uint32)])
-            offset = np.concatenate([np.arange(-side, 0), np.arange(reach, reach + side)])
-            spot = at[:, None] + offset
-            inside = (spot >= t.bounds[row][:, None]) & (spot < t.bounds[row + 1][:, None])
-            around = np.ascontiguousarray(short[np.where(inside, spot, len(short) - 1)], "<u4")
-            width = 4 * 2 * side
+            whole = np.maximum(np.append(_text.grams(t.hash, length), np.uint64(0)), np.uint64(1))
+            start = at[:, None] - before
+            inside = (start >= t.bounds[row][:, None]) & (start + length <= t.bounds[row + 1][:, None])
+            found = np.where(inside, whole[np.where(inside, start, 0)], np.uint64(0))
+            if apart:
+                k, s = np.nonzero(inside)
+                yield pa.RecordBatch.from_arrays([pa.array(found[k, s].view(np.int64)), pa.array(ids[a + row[k]]), pa.array((place[k] - s).astype(np.int32))], ["passage", "doc_id", "start"])
+                continue
+            packed = pa.Array.from_buffers(pa.binary(8 * len(before)), len(at), [None, pa.py_buffer(np.ascontiguousarray(found, "<u8"))]).cast(pa.binary())
             key = _text.grams(t.hash, reach)[at]
-            packed = pa.Array.from_buffers(pa.binary(width), len(at), [None, pa.py_buffer(around)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[a + row]), pa.array(place.astype(np.int32)), packed], ["key", "doc_id", "place", "around"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[a + row]), pa.array(place.astype(np.int32)), packed], ["key", "doc_id", "place", "passages"])
 
 
-def matched(key: np.ndarray, doc: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How far the passages shared with another document reach to the left and right of each suffix, and such a document; -1 left without any."""
-    n, side = len(key), around.shape[1] // 2
-    left, right = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+def matched(doc: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How far the passages shared with another document begin before each suffix, most and least, and such a document; -1 most without any."""
+    n, ways = passages.shape
+    most, least = np.full(n, -1, np.int32), np.full(n, ways, np.int32)
     other = np.zeros(n, np.int64)
-    # running hashes outwards from the suffix, so that each extension is one column
-    power, _ = _text.powers(side + 1)
-    wide = around.astype(np.uint64)
-    out_left = np.zeros((n, side + 1), np.uint64)
-    np.cumsum(wide[:, side - 1 :: -1][:, :side] * power[:side], axis=1, out=out_left[:, 1:])
-    out_right = np.zeros((n, side + 1), np.uint64)
-    np.cumsum(wide[:, side:] * power[:side], axis=1, out=out_right[:, 1:])
-    base = _text.mix(key.view(np.uint64))
-    for s in range(side + 1):
-        there = np.flatnonzero(((around[:, side - s] != 0) if s else np.ones(n, bool)) & ((around[:, 2 * side - s - 1] != 0) if s < side else np.ones(n, bool)))
+    for s in range(ways):
+        there = np.flatnonzero(passages[:, s])
         if len(there) < 2:
             continue
-        h = _text.mix(base[there] + _text.mix(out_left[there, s] + np.uint64(1)) * np.uint64(3) + _text.mix(out_right[there, side - s] + np.uint64(2)))
+        h = passages[there, s]
         order = np.lexsort((doc[there], h))
         run = _text.run_ids(h[order])
         begin = np.flatnonzero(np.diff(run, prepend=-1))
@@ -176,57 +178,43 @@ def matched(key: np.ndarray, doc: np.ndarray, around: np.ndarray) -> tuple[np.nd
         low, high = d[begin][run], d[stop - 1][run]
         hit = low != high
         i = there[order[hit]]
-        left[i] = np.maximum(left[i], s)
-        right[i] = np.maximum(right[i], side - s)
+        most[i] = np.maximum(most[i], s)
+        least[i] = np.minimum(least[i], s)
         other[i] = np.where(d[hit] == low[hit], high[hit], low[hit])
-    return left, right, other
+    return most, least, other
 
 
-#: Rows of one key that are compared at once; more stream through with their distinct surroundings carried on.
+#: Suffixes with one beginning that are compared in one task.
 GROUP_ROWS = 200_000
 
 
-def _extend(batches: Iterator[pa.RecordBatch], length: int, k: int, window: int, group_rows: int = GROUP_ROWS) -> Iterator[pa.RecordBatch]:
-    """(doc_id, start, stop, other_doc_id) of rows sorted by key."""
-    reach = length - window + 1
-    side = length - reach
+def _extend(batches: Iterator[pa.RecordBatch], length: int, window: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, start, stop, other_doc_id) of rows (key, doc_id, place, passages) sorted by key."""
 
     def solve(rows: list[np.ndarray]) -> pa.RecordBatch:
-        key, doc, place, around = rows
-        left, right, other = matched(key, doc, around)
-        hit = np.flatnonzero(left >= 0)
-        start = place[hit] - left[hit]
-        stop = place[hit] + reach + right[hit]
+        _, doc, place, passages = rows
+        most, least, other = matched(doc, passages)
+        hit = np.flatnonzero(most >= 0)
+        start = place[hit] - most[hit]
+        stop = place[hit] - least[hit] + length
         return pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(other[hit])], ["doc_id", "start", "stop", "other_doc_id"])
 
-    def distinct(rows: list[np.ndarray]) -> list[np.ndarray]:
-        """The first and last document of each of the surroundings."""
-        key, doc, _, around = rows
-        seen = np.ascontiguousarray(around).view(np.dtype((np.void, 8 * side))).ravel()
-        order = np.argsort(doc, kind="stable")
-        _, first = np.unique(seen[order], return_index=True)
-        _, last = np.unique(seen[order[::-1]], return_index=True)
-        at = np.unique(np.concatenate([order[first], order[::-1][last]]))
-        return [c[at] for c in rows]
-
-    held: list[np.ndarray] | None = None
+    held: list[list[np.ndarray]] = []
     for b in batches:
         if not b.num_rows:
             continue
-        around = np.frombuffer(b"".join(b.column(3).to_pylist()), "<u4").reshape(-1, 2 * side)
-        rows = [b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False).astype(np.int64), around]
-        if held is not None:
-            rows = [np.concatenate([x, y]) for x, y in zip(held, rows, strict=True)]
+        passages = np.frombuffer(b"".join(b.column(3).to_pylist()), "<u8").reshape(-1, window)
+        rows = [b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False).astype(np.int64), passages]
         cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
-        if cut:
+        if held and (cut or rows[0][0] != held[-1][0][-1]):
+            before = [np.concatenate(c) for c in zip(*held, [c[:cut] for c in rows], strict=True)]
+            held = []
+            yield solve(before)
+        elif cut:
             yield solve([c[:cut] for c in rows])
-            rows = [c[cut:] for c in rows]
-        if len(rows[0]) > group_rows:
-            yield solve(rows)
-            rows = distinct(rows)
-        held = rows
-    if held is not None:
-        yield solve(held)
+        held.append([c[cut:] for c in rows])
+    if held:
+        yield solve([np.concatenate(c) for c in zip(*held, strict=True)])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,13 +245,25 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(*(np.array([x]) for x in open_span))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, k: int = K, window: int = WINDOW) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, k: int = K, window: int = WINDOW, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(doc_id, start_token, stop_token, other_doc_id) of the passages that another document holds too."""
     _spark.session(docs)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null and text is not null")
     kept = rows.mapInArrow(lambda b: _keys(b, length, k, window), "key bigint, doc_id bigint, place int")
-    alike = kept.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(lambda b: shared_rows(b), "key bigint, doc_id bigint, place int")
-    places = alike.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    around = rows.join(places.hint("shuffle_hash"), "doc_id").mapInArrow(lambda b: _surroundings(b, length, k, window), "key bigint, doc_id bigint, place int, around binary")
-    spans = around.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(lambda b: _extend(b, length, k, window), "doc_id bigint, start int, stop int, other_doc_id bigint")
+    alike = _spark.checkpoint(kept.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(lambda b: shared_rows(b), "key bigint, doc_id bigint, place int"))
+
+    def around(some: DataFrame, apart: bool, schema: str) -> DataFrame:
+        places = some.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+        texts = _spark.likely(rows, F.col("doc_id"), some.select("doc_id").distinct())
+        return texts.join(places.hint("shuffle_hash"), "doc_id").mapInArrow(lambda b: _passages(b, length, window, apart), schema)
+
+    heavy = _spark.checkpoint(alike.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group_rows).select("key"))
+    hot = not heavy.isEmpty()
+    near = around(alike.join(heavy, "key", "left_anti") if hot else alike, False, "key bigint, doc_id bigint, place int, passages binary")
+    spans = near.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(lambda b: _extend(b, length, window), "doc_id bigint, start int, stop int, other_doc_id bigint")
+    if hot:
+        each = _spark.checkpoint(around(alike.join(heavy, "key", "left_semi"), True, "passage bigint, doc_id bigint, start int"))
+        holders = each.groupBy("passage").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
+        other = F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low"))
+        spans = spans.unionByName(each.join(holders, "passage").select("doc_id", "start", (F.col("start") + length).alias("stop"), other.alias("other_doc_id")))
     return spans.repartition("doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(_merge, "doc_id bigint, start_token int, stop_token int, other_doc_id bigint")

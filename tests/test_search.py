@@ -1,5 +1,7 @@
+import io
 import math
 import random
+import sys
 from collections import Counter, defaultdict
 
 import pytest
@@ -246,6 +248,17 @@ def test_server_and_cli(spark, tmp_path, capsys):
     assert cli.main(["search", "--index", path, "(rust"]) == 1
     assert cli.main(["stats", "--index", path]) == 0
     assert "2 documents, 2 segments" in capsys.readouterr().out
+    assert cli.shown({"rank": 2, "score": 0.5, "value": '{"id": "7", "n": 3, "place": "here"}'}) == ["2. [0.5000] (untitled)", "   place: here"]
+    assert cli.shown({"rank": 1, "score": 1.0, "title": "T", "body": "b" * 201})[1] == "   " + "b" * 200 + "..."
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(sys, "stdin", io.StringIO('{"title": "Rust Book"}\n{bad\n{"body": "more rust"}\n'))
+        m.setattr(cli.staged, "__defaults__", (2,))
+        assert cli.main(["index", "--input", "-", "--output", path, "--append"]) == 0
+    said = capsys.readouterr()
+    assert "2 documents, 1 malformed lines, 3 segments" in said.out and "not JSON: {bad" in said.err
+    assert cli.main(["merge", "--index", path]) == 0 and "1 segments" in capsys.readouterr().out
+    assert cli.main(["search", "--index", path, "rust"]) == 0 and "4 documents in" in capsys.readouterr().out
+    path += "2"
     http = server.serve(search.SearchIndex(spark, path), port=0)
     threading.Thread(target=http.serve_forever, daemon=True).start()
     get = lambda p: urllib.request.urlopen(f"http://127.0.0.1:{http.server_port}{p}").read().decode()

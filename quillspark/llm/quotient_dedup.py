@@ -10,22 +10,25 @@ above one, and only those, route their texts to comparison of the bytes.
 Defined results: a null text equals nothing; empty texts equal each other; a
 row with a null doc_id counts for nothing; the smallest doc_id of a group of
 equal texts stays and each other one is listed once, however often it occurs;
-an empty table gives an empty result.  Only ``doc_id`` and ``text`` are read.
+texts of any length are compared whole; an empty table gives an empty result.
+Only ``doc_id`` and ``text`` are read, whatever other columns there are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _spark
 
 #: Share of a filter's quotients that are in use.
 LOAD = 0.75
+#: Fingerprints of a merged range, about.
+RANGE = 1 << 20
 
 
 class QuotientFilter:
@@ -88,7 +91,10 @@ class QuotientFilter:
 
     @staticmethod
     def merge(filters: list[QuotientFilter]) -> QuotientFilter:
-        """The filter of all that the filters hold, counts added."""
+        """The filter of all that the filters hold, counts added.
+
+        Their values come sorted, so that the stable sort merges these runs.
+        """
         parts = [f.items() for f in filters]
         return QuotientFilter.of(np.concatenate([v for v, _ in parts]), np.concatenate([c for _, c in parts]), filters[0].bits)
 
@@ -167,34 +173,31 @@ def _merge(batches: Iterator[pa.RecordBatch], range_bits: int) -> Iterator[pa.Re
         yield repeated()
 
 
-def repeated_fingerprints(fingerprints: DataFrame, range_bits: int | None = None) -> DataFrame:
-    """The values of the one bigint column that occur more than once.
-
-    There are about four ranges to each partition of a shuffle, unless their bits are given.
-    """
-    if range_bits is None:
-        range_bits = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length() + 2
+def repeated_fingerprints(fingerprints: DataFrame, range_bits: int) -> DataFrame:
+    """The values of the one bigint column that occur more than once, from filters of 2**range_bits ranges."""
     filters = fingerprints.mapInArrow(lambda b: _build(b, range_bits), "range int, filter binary")
     return filters.repartition("range").sortWithinPartitions("range").mapInArrow(lambda b: _merge(b, range_bits), "fp bigint")
 
 
-def duplicates(docs: DataFrame, range_bits: int | None = None) -> DataFrame:
-    """(doc_id, duplicate_of) of every document whose text equals that of one with a smaller doc_id."""
+def duplicates(docs: DataFrame, range_bits: int | None = None, digest: Callable[[Column], Column] = F.md5) -> DataFrame:
+    """(doc_id, duplicate_of) of every document whose text equals that of one with a smaller doc_id.
+
+    Ranges hold about ``RANGE`` fingerprints, unless their bits are given.
+    """
     _spark.session(docs)
+    if range_bits is None:
+        range_bits = max(2, (docs.count() // RANGE).bit_length())
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null and text is not null").withColumn("fp", F.xxhash64("text"))
-    suspects = _spark.checkpoint(rows.join(repeated_fingerprints(rows.select("fp"), range_bits), "fp", "left_semi"))
+    repeated = _spark.checkpoint(repeated_fingerprints(rows.select("fp"), range_bits))
+    # only texts of repeated fingerprints move on; a few others may pass, which equal nothing
+    suspects = _spark.checkpoint(_spark.likely(rows, F.col("fp"), repeated).withColumn("digest", digest(F.col("text"))))
     # equal bytes make a class, named by its first document; a text travels once from each partition
-    classes = suspects.groupBy("fp", "text").agg(F.min("doc_id").alias("first"))
-    each = suspects.select("fp", "doc_id", F.md5("text").alias("digest")).distinct()
-    named = classes.select("fp", F.md5("text").alias("digest"), "first")
+    classes = _spark.checkpoint(suspects.groupBy("fp", "text").agg(F.min("doc_id").alias("first"), F.min("digest").alias("digest")).select("fp", "digest", "first"))
     # a digest only finds a document's class again; where one digest names two classes, bytes decide
-    shared = named.groupBy("fp", "digest").agg(F.count("*").alias("n"), F.min("first").alias("first"))
-    plain = each.join(shared.where("n = 1"), ["fp", "digest"]).select("doc_id", "first")
+    shared = classes.groupBy("fp", "digest").agg(F.count("*").alias("n"), F.min("first").alias("first"))
+    found = suspects.select("fp", "doc_id", "digest").distinct().join(shared.where("n = 1"), ["fp", "digest"]).select("doc_id", "first")
     twins = shared.where("n > 1").select("fp", "digest")
-    rest = (
-        suspects.withColumn("digest", F.md5("text"))
-        .join(twins, ["fp", "digest"], "left_semi")
-        .join(classes.join(twins, "fp", "left_semi"), ["fp", "text"])
-        .select("doc_id", "first")
-    )
-    return plain.unionByName(rest).where("doc_id > first").groupBy("doc_id").agg(F.min("first").alias("duplicate_of"))
+    if not twins.isEmpty():
+        alike = suspects.join(twins, ["fp", "digest"], "left_semi")
+        found = found.unionByName(alike.join(alike.groupBy("fp", "text").agg(F.min("doc_id").alias("first")), ["fp", "text"]).select("doc_id", "first"))
+    return found.where("doc_id > first").groupBy("doc_id").agg(F.min("first").alias("duplicate_of"))

@@ -52,13 +52,15 @@ def main() -> None:
     try:
         docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
         index = timed("index_build", lambda: indexing.write(indexing.build(docs, ["text"]), f"{folder}/index"))
+        # the first build also starts the session's threads and compiles code
+        index = timed("index_build_warm", lambda: indexing.write(indexing.build(docs, ["text"]), f"{folder}/index"))
         n = index.docs.count()
         search.ranked(index, "warm OR up").collect()
         for name, q in QUERIES.items():
             timed(name, lambda q=q: search.ranked(index, q).collect())
         timed("batch_8", lambda: search.batch(index, {k: " OR ".join(q.replace(" NOT ", " ").replace(" OR ", " ").split()) for k, q in enumerate(QUERIES.values())}).collect())
         timed("no_index", lambda: search.ranked(indexing.build(docs, ["text"]), "from OR ther OR pour").collect())
-        times["docs_per_second"] = round(n / times["index_build"], 1)
+        times["docs_per_second"] = round(n / times["index_build_warm"], 1)
     finally:
         shutil.rmtree(folder, ignore_errors=True)
     value = round(sum(v for k, v in times.items() if k != "docs_per_second"), 3)

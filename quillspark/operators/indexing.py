@@ -86,8 +86,9 @@ def build(df: DataFrame, fields: list[str], key: str = "doc_id", segment_docs: i
     held = base.withColumn("__t", analyzer.field_tokens(fields)).withColumn("dl", F.size("__t")).withColumn("norm", norm).withColumn("ndl", scoring.decode_length(F.col("norm")))
     stored = [c for c in df.columns if c not in ("doc_id", "segment_id", "dl", "norm", "ndl")]
     docs = held.select("segment_id", "doc_id", "dl", "norm", "ndl", *(F.col(f"`{c}`") for c in stored))
-    sorted_terms = held.where("dl > 0").select("segment_id", "doc_id", "dl", "ndl", F.sort_array("__t").alias("t"))
-    first = F.filter(F.sequence(F.lit(1), F.col("dl")), lambda i: (i == 1) | (F.element_at("t", i) != F.element_at("t", F.greatest(i - 1, F.lit(1)))))
+    sorted_terms = held.select("segment_id", "doc_id", "dl", "ndl", F.sort_array("__t").alias("t"))
+    places = F.when(F.col("dl") > 0, F.sequence(F.lit(1), F.greatest("dl", F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    first = F.filter(places, lambda i: (i == 1) | (F.element_at("t", i) != F.element_at("t", F.greatest(i - 1, F.lit(1)))))
     runs = sorted_terms.select("segment_id", "doc_id", "dl", "ndl", "t", first.alias("f"))
     each = F.transform("f", lambda i, k: F.struct(F.element_at("t", i).alias("term"), (F.coalesce(F.get("f", k + 1), F.col("dl") + 1) - i).cast("int").alias("tf")))
     postings = runs.select("segment_id", "doc_id", "ndl", F.inline(each)).select("segment_id", "term", "doc_id", "tf", "ndl")

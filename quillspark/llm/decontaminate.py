@@ -10,8 +10,8 @@ item consists, and pairs of neighbours that no item holds, end a match; they are
 found for whole batches at once, and only the stretches between them that are
 long enough to exceed a limit go through the automaton token by token.
 
-An automaton takes about 10 bytes of memory for each byte of its items.  Test
-items of more than ``PART_BYTES`` make several automata, through which the
+An automaton takes 6 to 8 bytes of memory for each byte of its items, and some
+30 while it is built.  Test items of more than ``PART_BYTES`` make several automata, through which the
 documents stream one after the other, with the same result.
 
 Defined results: null, empty and blank texts and items have no tokens and match
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,7 +43,7 @@ COVERAGE = 0.8
 #: Fewer tokens are never removed, whatever they cover.
 LEAST = 5
 #: Bytes of test items in one automaton.
-PART_BYTES = 16_000_000
+PART_BYTES = 8_000_000
 
 #: Start, stop, item_id, and tokens of the longest match.
 Span = tuple[int, int, int | None, int]
@@ -52,13 +53,15 @@ class Automaton:
     """A generalised suffix automaton over word numbers.
 
     Most states have one edge, which is held in two arrays; ``more`` has the
-    edges of those with several.  ``item`` is the shortest item that holds a
-    state's words.
+    other edges of those with ``several``, while the automaton is built as
+    dictionaries, and then as arrays sorted by state and word.  ``item`` is the
+    shortest item that holds a state's words.
     """
 
     def __init__(self) -> None:
         self.word, self.to, self.link, self.length, self.item = (array("i", [v]) for v in (-1, -1, -1, 0, -1))
         self.more: dict[int, dict[int, int]] = {}
+        self.several, self.edge, self.edge_to = bytearray(1), array("q"), array("i")
         self.sizes, self.ids = array("i"), []
         self.words, self.pairs = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self._limits: dict[tuple, tuple[array, array, array]] = {}
@@ -84,10 +87,11 @@ class Automaton:
             state = 0
             for c in w.tolist():
                 state = self._extend(state, c)
+        self._freeze()
         for k, w in enumerate(numbers):
             state = 0
             for c in w.tolist():
-                state = s = self.step(state, c)
+                state = s = self.after(state, c)
                 while s > 0 and self.item[s] < 0:
                     self.item[s] = k
                     s = self.link[s]
@@ -100,6 +104,30 @@ class Automaton:
         edges = self.more.get(state)
         return edges.get(c, -1) if edges else -1
 
+    def _freeze(self) -> None:
+        """Turn the dictionaries into arrays."""
+        n = sum(map(len, self.more.values()))
+        state = np.repeat(np.fromiter(self.more, np.int64, len(self.more)), np.fromiter(map(len, self.more.values()), np.int64, len(self.more)))
+        word = np.fromiter((c for edges in self.more.values() for c in edges), np.int64, n)
+        to = np.fromiter((t for edges in self.more.values() for t in edges.values()), np.int32, n)
+        self.several = bytearray(len(self.length))
+        for s in self.more:
+            self.several[s] = 1
+        key = state * len(self.words) + word
+        order = np.argsort(key)
+        self.edge, self.edge_to = array("q", key[order].tobytes()), array("i", to[order].tobytes())
+        self.more = {}
+
+    def after(self, state: int, c: int) -> int:
+        """The state that word c leads to in the finished automaton, or -1."""
+        if self.word[state] == c:
+            return self.to[state]
+        if not self.several[state]:
+            return -1
+        key = state * len(self.words) + c
+        at = bisect_left(self.edge, key)
+        return self.edge_to[at] if at < len(self.edge) and self.edge[at] == key else -1
+
     def _point(self, state: int, c: int, to: int) -> None:
         if self.word[state] in (-1, c):
             self.word[state], self.to[state] = c, to
@@ -162,12 +190,12 @@ class Automaton:
     def matches(self, seq: list[int], length: int, coverage: float, least: int) -> list[tuple[int, int, int, int]]:
         """(start, stop, item, tokens of the longest match) of the matches beyond a limit, those that overlap as one."""
         need, other = self.limits(length, coverage, least)
-        word, to, more, link, size = self.word, self.to, self.more, self.link, self.length
+        word, to, link, size = self.word, self.to, self.link, self.length
         state = n = 0
         out: list[tuple[int, int, int, int]] = []
         for i, c in enumerate(seq):
             while True:
-                after = to[state] if word[state] == c else more[state].get(c, -1) if state in more else -1
+                after = to[state] if word[state] == c else self.after(state, c)
                 if after >= 0:
                     state, n = after, n + 1
                     break

@@ -55,7 +55,8 @@ class Model:
 def features(raw: np.ndarray, off: np.ndarray, bits: int, sizes: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(bucket, byte place) of each word, each pair of words, and each n-gram of each size.
 
-    A word that follows itself is one feature, whatever the word.
+    A word that follows itself is one feature, whatever the word: immediate
+    repetition marks poor text as such, also of words that no labelled text has.
     """
     raw = np.where(raw <= 32, np.uint8(32), raw)
     solid = raw > 32

@@ -12,14 +12,13 @@ with the call and don't grow with the pages.
 
 Defined results: a null, empty or blank url has the key "" and no edges, and
 passes; null html has no edges; a page that points to itself is alone; repeated
-rows give repeated results; relative links are resolved against the page; an
-empty table gives an empty result.
+rows give repeated results; relative links are resolved against the page; html of
+any length is read whole; an empty table gives an empty result.  Only
+``page_id``, ``url`` and ``html`` are read, whatever other columns there are.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,12 +57,15 @@ def resolve(link: Column, url: Column) -> Column:
 
 
 def matches(of: Column, rules: tuple[str, ...]) -> Column:
-    """Whether a rule names the key: its host, a host above it, or the key itself."""
-    if not rules:
-        return F.lit(False)
-    hosts = "|".join(re.escape(r) for r in rules if "/" not in r) or "(?!)"
-    keys = [r for r in rules if "/" in r]
-    hit = F.regexp_extract(of, "^[^/?]*", 0).rlike(rf"(^|\.)({hosts})$")
+    """Whether a rule names the key: its host, a host above it, or the key itself.
+
+    The host and all above it are looked up in a set, so that the number of
+    rules doesn't matter.
+    """
+    hosts, keys = [r for r in rules if "/" not in r], [r for r in rules if "/" in r]
+    parts = F.split(F.regexp_extract(of, "^[^/?]*", 0), r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    hit = F.exists(above, lambda h: h.isin(hosts)) if hosts else F.lit(False)
     return hit | of.isin(keys) if keys else hit
 
 

@@ -1,6 +1,8 @@
 """Line dedup by pairwise alignment.
 
-Lines are compared by a hash of their text without surrounding white space.
+Lines are compared by a hash of their text without surrounding white space; the
+hash by which documents find each other is another one, so that two lines of
+equal hashes by chance don't lead to a deletion.
 Documents overlap if they share a line of at least ``MIN_LINE`` characters or a
 run of lines that makes a block: a rare one, held by at most ``RARE`` documents,
 pairs all of these; a more frequent one pairs each document with the first that
@@ -9,15 +11,18 @@ earlier holders after the first, twice as many in each round, until the run is
 deleted or none is left.  So the result is that of all pairs, while pairs grow
 with the lines, not their square, wherever an early holder settles them.  Each pair is aligned by patience diff: lines unique on both sides
 anchor the longest common increasing sequence, between anchors the alignment
-goes on recursively, and equal lines next to an anchor join it.  Aligned blocks
+goes on recursively, and equal lines next to an anchor join it.  The documents
+that pair with one earlier document are aligned with it in portions of about
+``HUB``, so that a line which very many share is no hot spot.  Aligned blocks
 of consecutive lines with at least ``MIN_BLOCK`` characters are deleted from
 the later document, the one with the larger doc_id.
 
 Defined results: a document that loses all its lines with text is dropped; null
 and empty texts, texts without a shared line and rows with a null doc_id stay
 as they are; rows of equal doc_id are edited alike, line by line number, from
-the alignment of the first of them in the order of their text; an empty table
-gives an empty result; further columns pass through.
+the alignment of the first of them in the order of their text; texts of any
+length and number of lines are read whole; an empty table gives an empty result;
+further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +43,8 @@ MIN_LINE = 20
 RARE = 8
 #: Characters of an aligned block that is deleted.
 MIN_BLOCK = 40
+#: Later documents that are aligned with one earlier document in one task.
+HUB = 2048
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -149,50 +156,69 @@ def _left(batches: Iterator[pa.RecordBatch], min_block: int) -> Iterator[pa.Reco
 
 
 def _align(batches: Iterator[pa.RecordBatch], min_block: int) -> Iterator[pa.RecordBatch]:
+    """(id, gone) of rows (early, salt, late, h, n) sorted by these: a null late brings the lines of the early document itself, and its pairs follow."""
+    early: list[int] = []
     for b in batches:
         ids, lines = [], []
-        for doc, early, late, sizes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            if gone := doomed(early, late, sizes, min_block):
-                ids.append(doc)
+        for late, h, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            if late is None:
+                early = h
+            elif gone := doomed(early, h, n, min_block):
+                ids.append(late)
                 lines.append(gone)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.list_(pa.int32()))], ["__id", "__gone"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.list_(pa.int32()))], ["id", "gone"])
 
 
-def deletions(docs: DataFrame, min_line: int = MIN_LINE, rare: int = RARE, min_block: int = MIN_BLOCK) -> DataFrame:
-    """(__id, __gone): the line numbers, from 0, that each later document loses."""
+def ranked(held: DataFrame) -> DataFrame:
+    """(line, id, rank) of rows (line, id): the place of id among those of its line, from 1.
+
+    Rows are sorted over all tasks together, so that a line of very many
+    documents is spread, and each task's places go on from those before.
+    """
+    spread = _spark.checkpoint(held.repartitionByRange("line", "id").sortWithinPartitions("line", "id").withColumn("task", F.spark_partition_id()))
+    counts = spread.groupBy("line", "task").agg(F.count("*").alias("k"))
+    before = counts.select("line", "task", (F.sum("k").over(Window.partitionBy("line").orderBy("task")) - F.col("k")).alias("before"))
+    here = F.row_number().over(Window.partitionBy("line", "task").orderBy("id"))
+    return spread.withColumn("here", here).join(before, ["line", "task"]).select("line", "id", (F.col("before") + F.col("here")).cast("int").alias("rank"))
+
+
+def deletions(docs: DataFrame, min_line: int = MIN_LINE, rare: int = RARE, min_block: int = MIN_BLOCK, hub: int = HUB) -> DataFrame:
+    """(id, gone): the line numbers, from 0, that each later document loses."""
     _spark.session(docs)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").alias("text")).where("id is not null and text is not null")
     trimmed = F.transform(F.split("text", "\n"), lambda x: F.trim(x, F.lit(" \t\r")))
-    lines = rows.select("id", trimmed.alias("t")).select(
-        "id",
-        F.transform("t", lambda x: F.when(x == "", F.lit(0).cast("bigint")).otherwise(F.xxhash64(x))).alias("h"),
-        F.transform("t", lambda x: F.length(x)).alias("n"),
-    )
+    hashed = lambda seed: F.transform("t", lambda x: F.when(x == "", F.lit(0).cast("bigint")).otherwise(F.xxhash64(x, *seed)))
+    lines = rows.select("id", trimmed.alias("t")).select("id", hashed([F.lit("other")]).alias("h"), F.transform("t", lambda x: F.length(x)).alias("n"), hashed([]).alias("k"))
     lines = _spark.checkpoint(lines)
-    held = lines.mapInArrow(lambda b: _runs(b, min_line, min_block), "id bigint, line bigint").distinct()
+    held = lines.select("id", "k", "n").mapInArrow(lambda b: _runs(b, min_line, min_block), "id bigint, line bigint").distinct()
     facts = held.groupBy("line").agg(F.count("*").alias("df"), F.min("id").alias("first")).where("df > 1")
     shared = held.join(facts, "line")
     star = shared.where("id > first").select(F.col("first").alias("early"), F.col("id").alias("late"))
     few = shared.where((F.col("df") > 2) & (F.col("df") <= rare)).groupBy("line").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     clique = few.select(F.explode("ids").alias("early"), "ids").select("early", F.explode("ids").alias("late")).where("early < late")
-    pairs = star.unionByName(clique)
-    once = lines.groupBy("id").agg(F.min_by(F.struct("h", "n"), F.struct("h", "n")).alias("x")).select("id", "x.h", "x.n")
+    once = lines.groupBy("id").agg(F.min_by(F.struct("h", "n", "k"), F.struct("h", "n")).alias("x")).select("id", "x.h", "x.n", "x.k")
 
     def align(pairs: DataFrame) -> DataFrame:
-        early = pairs.distinct().join(once.select(F.col("id").alias("early"), F.col("h").alias("eh")), "early")
-        both = early.join(once.select(F.col("id").alias("late"), F.col("h").alias("lh"), "n"), "late")
-        return both.select("late", "eh", "lh", "n").mapInArrow(lambda b: _align(b, min_block), "__id bigint, __gone array<int>")
+        # an early document's lines travel once to each portion of its pairs, not with each pair
+        pairs = _spark.checkpoint(pairs.distinct())
+        portions = pairs.groupBy("early").agg(F.ceil(F.count("*") / hub).cast("int").alias("portions"))
+        many = portions.where("portions > 1")
+        late = pairs.join(many, "early", "left").join(once.select(F.col("id").alias("late"), "h", "n"), "late")
+        late = late.select("early", F.pmod(F.xxhash64("late"), F.coalesce("portions", F.lit(1))).cast("int").alias("salt"), "late", "h", "n")
+        own = portions.join(once, F.col("early") == F.col("id")).select("early", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("late"), "h", F.lit(None).cast("array<int>").alias("n"))
+        both = late.unionByName(own).repartition("early", "salt").sortWithinPartitions("early", "salt", F.asc_nulls_first("late"))
+        return both.mapInArrow(lambda b: _align(b, min_block), "id bigint, gone array<int>")
 
     def together(found: DataFrame) -> DataFrame:
-        return _spark.checkpoint(found.groupBy("__id").agg(F.array_distinct(F.flatten(F.collect_list("__gone"))).alias("__gone")))
+        return _spark.checkpoint(found.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
 
-    gone = together(align(pairs))
-    frequent = _spark.checkpoint(shared.where(F.col("df") > rare).select("line", "id", F.row_number().over(Window.partitionBy("line").orderBy("id")).alias("rank")))
+    gone = together(align(star.unionByName(clique)))
+    frequent = _spark.checkpoint(ranked(shared.where(F.col("df") > rare).select("line", "id")))
     todo = frequent.where("rank > 2")
     low = 2
     while True:
         mine = todo.groupBy("id").agg(F.collect_list(F.struct("line", "rank")).alias("held"))
-        state = once.join(mine.hint("shuffle_hash"), "id").join(gone.hint("shuffle_hash"), F.col("id") == F.col("__id"), "left").select("id", "h", "n", "held", "__gone")
+        state = once.join(mine.hint("shuffle_hash"), "id").join(gone.hint("shuffle_hash"), "id", "left").select("id", "k", "n", "held", "gone")
         todo = _spark.checkpoint(state.mapInArrow(lambda b: _left(b, min_block), "id bigint, line bigint, rank int").where(F.col("rank") > low))
         if todo.isEmpty():
             return gone
@@ -202,28 +228,32 @@ def deletions(docs: DataFrame, min_line: int = MIN_LINE, rare: int = RARE, min_b
         low *= 2
 
 
-def dedup(docs: DataFrame, min_line: int = MIN_LINE, rare: int = RARE, min_block: int = MIN_BLOCK) -> DataFrame:
+def dedup(docs: DataFrame, min_line: int = MIN_LINE, rare: int = RARE, min_block: int = MIN_BLOCK, hub: int = HUB) -> DataFrame:
     """docs without the lines that an earlier document holds in an aligned block, and without documents that consist of such lines."""
-    gone = deletions(docs, min_line, rare, min_block)
-    at = docs.columns.index("text")
+    lost = deletions(docs, min_line, rare, min_block, hub).select(F.col("id").alias("lost_id"), "gone")
+    at, columns = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lost = b.column(b.num_columns - 1)
-            cut = np.flatnonzero(lost.is_valid().to_numpy(zero_copy_only=False))
-            columns = [b.column(k) for k in range(b.num_columns - 2)]
+            gone = b.column(len(columns))
+            cut = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))
+            found = [b.column(k) for k in range(len(columns))]
             stays = np.ones(b.num_rows, bool)
             if len(cut):
-                texts = columns[at].to_pylist()
+                texts = found[at].to_pylist()
                 for k in cut.tolist():
                     if texts[k] is None:
                         continue
-                    out = set(lost[k].as_py())
+                    out = set(gone[k].as_py())
                     left = [x for i, x in enumerate(texts[k].split("\n")) if i not in out]
                     texts[k] = "\n".join(left)
                     stays[k] = any(x.strip(" \t\r") for x in left)
-                columns[at] = pa.array(texts, b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([b.schema.field(k) for k in range(len(columns))])).filter(pa.array(stays))
+                found[at] = pa.array(texts, b.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(found, schema=pa.schema([b.schema.field(k) for k in range(len(columns))])).filter(pa.array(stays))
 
-    joined = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("bigint") == gone["__id"], "left")
-    return joined.mapInArrow(run, docs.schema)
+    # the user's columns travel as one, so that their names can't clash
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
+    joined = packed.join(lost.hint("shuffle_hash"), F.col("row.doc_id").cast("bigint") == F.col("lost_id"), "left")
+    flat = joined.select(*(F.col("row")[c].alias(f"c{k}") for k, c in enumerate(columns)), F.col("gone").alias(f"c{len(columns)}"))
+    back = flat.mapInArrow(run, ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields)))
+    return back.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(columns)))

@@ -4,13 +4,15 @@ A page is cut into flat text blocks at block-level tags.  A block is described
 by its words, its link density (share of words inside links) and the same of
 the block before and the block after; a decision tree (Gini impurity, grown in
 numpy) trained on a small labelled table tells content from boilerplate.  The
-text of a page is its content blocks, one a line.
+text of a page is its content blocks, one a line.  A page is read once from
+beginning to end, in time proportional to its length however broken it is.
 
 Defined results: null, empty or blank html, and html without text, gives the
 empty text; broken tags, unclosed elements and stray ``<`` are read as far as
 they go; scripts, styles, comments and the head are never text; html of any
 length is read whole; repeated rows give repeated results; an empty table gives
-an empty result.
+an empty result.  Only ``page_id`` and ``html`` are read, whatever other columns
+there are.
 """
 
 from __future__ import annotations
@@ -27,37 +29,93 @@ from pyspark.sql import DataFrame
 from . import _spark
 from .html_labels import TABLE
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|title)\b[^>]*>.*?(?:</\1\s*>|$)|<head\b[^>]*>.*?</head\s*>|<![^>]*>|<\?[^>]*>", re.I | re.S)
-_PIECE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^>]*>|<[^a-zA-Z/]?|</|[^<]+", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)\b")
+#: Elements whose content is never text; without an end they reach to the end of the page, but for the head.
+_HIDDEN = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "noscript", "template", "title", "head")}
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 
 #: Levels of the tree, and rows of the table that a leaf holds at least.
 DEPTH, LEAF = 6, 2
 
 
+def pieces(page: str) -> Iterator[tuple[str, str]]:
+    """(tag, "") of each tag, its name in small letters and after a slash if it ends an element, and ("", text) of what lies between."""
+    after: dict[str, tuple[int, int]] = {}  # where the next end of each kind lies, as far as it is known
+    nowhere = (len(page) + 1, len(page) + 1)
+
+    def next_end(kind: str, at: int) -> int:
+        if after.get(kind, (-1, -1))[0] < at:
+            if kind in _HIDDEN:
+                m = _HIDDEN[kind].search(page, at)
+                after[kind] = m.span() if m else nowhere
+            else:
+                k = page.find(kind, at)
+                after[kind] = (k, k + len(kind)) if k >= 0 else nowhere
+        return after[kind][1]
+
+    at = 0
+    while at < len(page):
+        start = page.find("<", at)
+        if start < 0:
+            start = len(page)
+        if start > at:
+            yield "", page[at:start]
+        if start == len(page):
+            return
+        at = start
+        if page.startswith("<!--", at):
+            at = min(next_end("-->", at + 4), len(page))
+            yield "", " "
+            continue
+        end = next_end(">", at)
+        m = _NAME.match(page, at)
+        if end > len(page) or not m and page[at + 1 : at + 2] not in ("!", "?"):
+            at += 2 if page.startswith("</", at) else 1  # a stray sign
+            continue
+        if not m:
+            at = end
+            yield "", " "
+            continue
+        name = m.group(1).lower()
+        opens = page[at + 1] != "/"
+        at = end
+        if opens and name in _HIDDEN:
+            close = next_end(name, at)
+            if close <= len(page) or name != "head":
+                at = min(close, len(page))
+                yield "", " "
+                continue
+        yield (name if opens else f"/{name}"), ""
+
+
+def plain(text: str) -> str:
+    """text with its entities as characters; as it stands where a number is beyond all measure."""
+    try:
+        return entities.unescape(text)
+    except ValueError:
+        return text
+
+
 def blocks(html: str | None) -> list[tuple[str, int, int]]:
     """(text, words, words in links) of the flat text blocks."""
     out: list[tuple[str, int, int]] = []
     text: list[str] = []
     words = linked = depth = 0
-    for m in _PIECE.finditer(_HIDDEN.sub(" ", html or "")):
-        tag = m.group(2)
-        if tag:
-            tag = tag.lower()
-            if tag == "a":
-                depth = max(0, depth + (-1 if m.group(1) else 1))
-            elif tag == "br":
-                text.append(" ")
-            elif tag not in _INLINE:
-                if words:
-                    out.append((" ".join("".join(text).split()), words, linked))
-                text, words, linked, depth = [], 0, 0, 0
-        else:
-            piece = entities.unescape(m.group(0)) if m.group(0) not in ("<", "</") else ""
+    for tag, raw in pieces(html or ""):
+        if not tag:
+            piece = plain(raw)
             n = len(piece.split())
             text.append(piece)
             words += n
             linked += n if depth else 0
+        elif tag in ("a", "/a"):
+            depth = max(0, depth + (1 if tag == "a" else -1))
+        elif tag in ("br", "/br"):
+            text.append(" ")
+        elif tag.lstrip("/") not in _INLINE:
+            if words:
+                out.append((" ".join("".join(text).split()), words, linked))
+            text, words, linked, depth = [], 0, 0, 0
     if words:
         out.append((" ".join("".join(text).split()), words, linked))
     return out

@@ -14,9 +14,11 @@ document, a token is toxic if its word or one of its beginnings occurs in so
 many toxic documents, with different neighbours, and in no clean one that chance is ruled out.
 
 Defined results: a null, empty or blank text has no tokens and no spans;
-offsets count characters of the text as it stands; a text of any length is
-read whole; repeated rows give repeated results; without labels of both
-classes nothing is toxic; an empty table gives an empty result.
+offsets count characters of the text as it stands; a text or line of any length
+is read whole, in time proportional to it; repeated rows give repeated results;
+without labels of both classes nothing is toxic; an empty table gives an empty
+result.  Only ``doc_id``, ``text`` and the labels' ``doc_id`` and ``toxic`` are
+read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ DECAY = 1e-4
 CHANCE = 1e-4
 #: A token of at least this probability belongs to a span.
 THRESHOLD = 0.5
+#: Tokens of a chain that are stepped through; longer chains are cut into such pieces, all of which are stepped through at once.
+PIECE = 512
 
 
 @dataclass
@@ -67,34 +71,80 @@ def _lines(raw: np.ndarray, off: np.ndarray, t: _text.Tokens) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(line[1:] != line[:-1]) + 1, [len(line)]]) if len(line) else np.zeros(1, np.int64)
 
 
-def marginals(unary: np.ndarray, bounds: np.ndarray, chain: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def _between(e: np.ndarray, w: np.ndarray, begin: np.ndarray, stop: np.ndarray, fresh: np.ndarray, final: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Toxic over clean in the messages that enter each piece from the left and from the right.
+
+    A piece takes a message through by a product of 2x2 matrices, formed for
+    all pieces at once.  ``fresh`` and ``final`` mark the ends of chains.
+    """
+    size = stop - begin
+    right, left = (np.broadcast_to(np.eye(2), (len(begin), 2, 2)).copy() for _ in range(2))
+    for k in range(int(size.max())):
+        i = np.flatnonzero(size > k)
+        m = np.broadcast_to(w.T, (len(i), 2, 2)).copy()
+        if k == 0:
+            m[fresh[i]] = np.eye(2)  # no edge leads to a chain's first token
+        m[:, 1] *= e[begin[i] + k][:, None]
+        right[i] = m @ right[i]
+        right[i] /= right[i].max((1, 2), keepdims=True)
+        m = np.broadcast_to(w, (len(i), 2, 2)).copy()
+        m[:, :, 1] *= e[stop[i] - 1 - k][:, None]
+        left[i] = m @ left[i]
+        left[i] /= left[i].max((1, 2), keepdims=True)
+    into, onto = np.ones(len(begin)), np.ones(len(begin))
+    v = np.ones(2)
+    for i in range(len(begin)):
+        v = np.ones(2) if fresh[i] else v / v.max()
+        into[i] = v[1] / v[0]
+        v = right[i] @ v
+    for i in range(len(begin) - 1, -1, -1):
+        v = np.ones(2) if final[i] else v / v.max()
+        onto[i] = v[1] / v[0]
+        v = left[i] @ v
+    return into, onto
+
+
+def marginals(unary: np.ndarray, bounds: np.ndarray, chain: np.ndarray, pairs: bool = False, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
     """Probability of the toxic state of each token by forward-backward, all chains at once.
 
     ``bounds`` are the beginnings of the chains and the end.  The ratio of
-    toxic to clean is carried along each chain in both directions.  With
-    ``pairs``, also the expected number of each transition.
+    toxic to clean is carried along each chain in both directions, piece by
+    piece where it is longer than ``piece``.  With ``pairs``, also the expected
+    number of each transition.
     """
     w = np.exp(chain - chain.max())
     e = np.exp(np.clip(unary, -40, 40))
-    length = np.diff(bounds)
-    order = np.argsort(-length, kind="stable")
-    first, size = bounds[:-1][order], length[order]
+    whole = np.diff(bounds)
+    parts = -(-whole // piece)
+    owner = np.repeat(np.arange(len(whole)), parts)
+    nth = np.arange(len(owner)) - (np.cumsum(parts) - parts)[owner]
+    begin = bounds[:-1][owner] + nth * piece
+    stop = np.minimum(begin + piece, bounds[1:][owner])
+    fresh, final = nth == 0, np.append(nth[1:] == 0, True)[: len(nth)]
+    size = stop - begin
+    into, onto = np.ones(len(begin)), np.ones(len(begin))
+    if (cut := np.flatnonzero(parts[owner] > 1)).size:
+        into[cut], onto[cut] = _between(e, w, begin[cut], stop[cut], fresh[cut], final[cut])
+    order = np.argsort(-size, kind="stable")
+    first, last, size = begin[order], stop[order] - 1, size[order]
+    fresh, final, into, onto = fresh[order], final[order], into[order], onto[order]
     ahead, back = np.ones(len(unary)), np.ones(len(unary))
     longest = int(size[0]) if len(size) else 0
-    active = np.searchsorted(-size, -np.arange(longest), side="left")  # chains longer than each step
-    last = first + size - 1
-    f, g = np.ones(len(first)), np.ones(len(first))
+    active = np.searchsorted(-size, -np.arange(longest), side="left")  # pieces longer than each step
+    f = into
+    g = onto
     for k in range(longest):
         n = active[k]
         at = first[:n] + k
-        f = e[at] if k == 0 else e[at] * (w[0, 1] + w[1, 1] * f[:n]) / (w[0, 0] + w[1, 0] * f[:n])
+        turned = (w[0, 1] + w[1, 1] * f[:n]) / (w[0, 0] + w[1, 0] * f[:n])
+        f = e[at] * (np.where(fresh[:n], 1.0, turned) if k == 0 else turned)
         ahead[at] = f
         at = last[:n] - k
         if k:
             x = e[at + 1] * g[:n]
             g = (w[1, 0] + w[1, 1] * x) / (w[0, 0] + w[0, 1] * x)
         else:
-            g = np.ones(n)
+            g = onto[:n]
         back[at] = g
     odds = ahead * back
     p = odds / (1 + odds)

@@ -1,12 +1,15 @@
 import random
 
 import duckdb
+import pandas as pd
 import pytest
 
 import corpus_pipeline
-from quillspark.llm import _spark, decontaminate, jaccard_join, line_dedup, mixing, quality_embeddings
+from quillspark.llm import _spark, decontaminate, line_dedup, quality_embeddings
+from quillspark.llm.sql import SQL
 
 from .helpers import SCHEMA, words
+from .test_operators import brute_covered, plain_classes, plain_dedup, plain_pairs, plain_quality
 
 
 @pytest.fixture(scope="module")
@@ -32,8 +35,6 @@ def folder(tmp_path_factory):
     rows.append((240, " ".join(near), "en", "s1", 1))
     rows.append((241, rows[4][1], "en", "s1", 1))
     con = duckdb.connect()
-    import pandas as pd
-
     for name, data, columns in (("documents", rows, ["doc_id", "text", "lang", "source", "n_chars"]), ("labels", labels, ["doc_id", "quality", "toxic"]), ("benchmark", [(0, " ".join(item))], ["item_id", "text"])):
         con.register("t", pd.DataFrame(data, columns=columns))
         con.sql(f"COPY t TO '{out}/{name}.parquet'")
@@ -61,20 +62,46 @@ def test_stages(spark, folder):
     assert len(after[50].split()) == 60 and sum(after[i] != texts[i] for i in after) == 1
 
 
-def test_run_equals_its_parts(spark, folder):
-    """run() is the stages one after the other, each of them tested against brute force by itself."""
+def test_run_by_brute_force(spark, folder):
+    """run() is the stages one after the other, each worked out from its definition."""
     docs = _spark.read(spark, folder, "documents")
-    docs = quality_embeddings.keep(docs, quality_embeddings.fit(docs, _spark.read(spark, folder, "labels")))
-    docs = jaccard_join.one_of_each(line_dedup.dedup(docs))
-    want = mixing.mix(decontaminate.clean(docs, decontaminate.fit(_spark.read(spark, folder, "benchmark"))))
+    model = quality_embeddings.fit(docs, _spark.read(spark, folder, "labels"))
+    rows = sorted(r for r in docs.collect() if plain_quality(r.text, model) >= quality_embeddings.THRESHOLD)
+    lined = plain_dedup([r.text for r in rows], line_dedup.MIN_BLOCK)
+    rows = [(rows[k].doc_id, t, rows[k].source) for k, t in lined.items()]
+    classes = plain_classes(len(rows), plain_pairs([t for _, t, _ in rows])[0])
+    rows = [r for k, r in enumerate(rows) if classes.get(k, (k,))[0] == k]
+    item = duckdb.sql(f"SELECT text FROM '{folder}/benchmark.parquet'").fetchone()[0].split()
+    clean = []
+    for i, t, s in rows:
+        gone = brute_covered([item], t.split(), decontaminate.LENGTH, decontaminate.COVERAGE, decontaminate.LEAST)
+        clean.append((i, " ".join(w for w, g in zip(t.split(" "), gone, strict=True) if not g) if any(gone) else t, s))
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([c for c in clean if c[1]], columns=["doc_id", "text", "source"]))
+    want = sorted(con.sql(SQL["op2_mixture"]).fetchall())
     got = corpus_pipeline.run(spark, folder)
-    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(tuple(r) for r in got.select("doc_id", "source", "mix_epoch", "mix_block", "mix_place").collect()) == want
+    texts = {i: t.strip() for i, t, _ in clean}
+    assert all(r.text.strip() == texts[r.doc_id] for r in got.collect())
 
 
 def test_empty_and_odd(spark, folder):
     from .helpers import odd
 
     for docs in (spark.createDataFrame([], SCHEMA), odd(spark)):
-        for _, stage in corpus_pipeline.STAGES:
+        for name, stage in corpus_pipeline.STAGES:
+            before = docs
             docs = stage(spark, docs, folder)
-            docs.collect()
+            kept = docs.collect()
+            ids = {r.doc_id for r in kept}
+            assert docs.columns[: len(before.columns)] == before.columns and ids <= {r.doc_id for r in before.collect()}
+            if name == "quality classifier":
+                assert not ids & {1, 2, 3}  # null, empty and blank
+
+
+def test_own_output(spark, folder):
+    """The last stage takes rows that have gone through it already."""
+    docs = _spark.read(spark, folder, "documents").limit(20)
+    once = corpus_pipeline.mixture(spark, docs, folder)
+    twice = corpus_pipeline.mixture(spark, once, folder)
+    assert twice.columns == [*once.columns, "mix_epoch_", "mix_block_", "mix_place_"] and twice.count() > 0

@@ -3,6 +3,12 @@
 Each stage takes the session, the documents that its predecessor kept, and the
 data folder, and works on all of them.  All but the last return the columns of
 documents; the last adds the mixture's epoch, block and place.
+
+Defined results, beyond those of the operators: null and blank texts are
+rejected by the first stage, without labels they pass all but the last, which
+takes nothing without tokens; rows of a null doc_id are classified,
+decontaminated and mixed, and equal no other; further columns pass through all
+stages, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,15 +50,20 @@ STAGES = [
     ("benchmark decontamination", decontamination),
     ("mixing sources to target weights", mixture),
 ]
-#: The classifier, patience diff and the joins' sketches have no SQL.
+#: The classifier and patience diff have no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, applied to the documents table; each stage's result is written and read again."""
-    docs = _spark.read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = _spark.checkpoint(docs)
-    return docs
+    """All stages, one after the other, applied to the documents table.
+
+    Each stage's result is written as Parquet to the shared folder and read
+    again; it is removed once the next one's is written.
+    """
+    docs, before = _spark.read(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs, path = _spark.written(stage(spark, docs, sf_dir))
+        if before:
+            _spark.discard(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -200,7 +200,7 @@ def deletions(docs: DataFrame, min_line: int = MIN_LINE, rare: int = RARE, min_b
 
     def align(pairs: DataFrame) -> DataFrame:
         # an early document's lines travel once to each portion of its pairs, not with each pair
-        pairs = _spark.checkpoint(pairs.distinct())
+        pairs = pairs.distinct()
         portions = pairs.groupBy("early").agg(F.ceil(F.count("*") / hub).cast("int").alias("portions"))
         many = portions.where("portions > 1")
         late = pairs.join(many, "early", "left").join(once.select(F.col("id").alias("late"), "h", "n"), "late")

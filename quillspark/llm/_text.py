@@ -34,7 +34,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse, modulo 2**64."""
     if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES * 2)
+        size = n + n // 4  # chunks differ in length: not another table for each longer one
         for k, base in ((0, _P), (1, _P_INV)):
             out = np.empty(size, np.uint64)
             out[0] = 1

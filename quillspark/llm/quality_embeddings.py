@@ -35,6 +35,10 @@ RATE = 0.15
 SIZES = (3, 5)
 #: Documents whose probability of good quality is lower are rejected.
 THRESHOLD = 0.5
+#: Bytes of texts whose features are held at once; a longer text is held whole.
+PIECE_BYTES = 1 << 18
+#: Rows of a batch that is returned.
+PIECE_ROWS = 1024
 
 
 @dataclass
@@ -146,7 +150,7 @@ def probabilities(column: pa.Array, folded: np.ndarray, bias: float, sizes: tupl
     bits = int(len(folded)).bit_length() - 1
     raw, off = _text.buffers(column)
     out = np.zeros(len(off) - 1)
-    for a, b, r, o in _text.chunks(raw, off):
+    for a, b, r, o in _text.chunks(raw, off, PIECE_BYTES):
         if not len(r):
             continue
         total, n = np.zeros(b - a), np.zeros(b - a, np.int64)
@@ -166,18 +170,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     return train(_spark.labelled_sample(docs, labels, "quality", {0: per_class, 1: per_class}))
 
 
+def _kept(batches: Iterator[pa.RecordBatch], at: int, folded: np.ndarray | None, bias: float, sizes: tuple[int, ...], threshold: float) -> Iterator[pa.RecordBatch]:
+    """The rows whose text, in column ``at``, isn't rejected, in small batches; of a model that knows nothing (None), all."""
+    for batch in batches:
+        p = probabilities(batch.column(at), folded, bias, sizes) if folded is not None else np.ones(batch.num_rows)
+        for k in range(0, batch.num_rows, PIECE_ROWS):
+            yield batch.slice(k, PIECE_ROWS).filter(pa.array(p[k : k + PIECE_ROWS] >= threshold))
+
+
 def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, whole, that the model doesn't reject."""
     _spark.session(docs)
     (folded, bias), sizes, known = model.folded(), model.sizes, model.known
     at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = probabilities(batch.column(at), folded, bias, sizes) if known else np.ones(batch.num_rows)
-            yield batch.filter(pa.array(p >= threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda b: _kept(b, at, folded if known else None, bias, sizes, threshold), docs.schema)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

@@ -373,6 +373,30 @@ def plain_quality(text, model):
     return 1 / (1 + np.exp(z[0] - z[1]))
 
 
+def test_quality_memory():
+    """A worker holds the features of a piece of its batch only, and returns small batches, with each row once."""
+    import tracemalloc
+
+    rng = random.Random(6)
+    one = " ".join(words(rng, 300))
+    texts = [f"{i} {one}" for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(texts)], ["doc_id", "text"])
+    folded = np.random.default_rng(0).normal(size=1 << 10).astype(np.float32)
+    tables, _text._powers[:] = list(_text._powers), [np.ones(1, np.uint64)] * 2
+    tracemalloc.start()
+    out = list(quality_embeddings._kept(iter([batch]), 1, folded, 0.0, quality_embeddings.SIZES, 0.5))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    _text._powers[:] = tables
+    assert sum(len(t) for t in texts) > 4e6 and most < 40e6
+    assert all(b.num_rows <= quality_embeddings.PIECE_ROWS for b in out)
+    p = [quality_embeddings.probabilities(pa.array([t]), folded, 0.0, quality_embeddings.SIZES)[0] for t in texts]
+    assert [i for b in out for i in b.column(0).to_pylist()] == [i for i, x in enumerate(p) if x >= 0.5]
+    assert not list(quality_embeddings._kept(iter([batch.slice(0, 0)]), 1, folded, 0.0, quality_embeddings.SIZES, 0.5))
+    every = quality_embeddings._kept(iter([batch]), 1, None, 0.0, quality_embeddings.SIZES, 0.5)
+    assert sum(b.num_rows for b in every) == 3000
+
+
 def test_plain_quality():
     rng = random.Random(3)
     model = quality_embeddings.train(quality_rows(rng, 60), epochs=1)

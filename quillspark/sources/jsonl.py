@@ -18,9 +18,24 @@ def from_lines(spark: SparkSession, values: Iterable[str]) -> DataFrame:
     return spark.createDataFrame([(v,) for v in values], "value string")
 
 
+#: A line that holds nothing.
+BLANK = r"^\s*$"
+
+
+def whole_json(value: Column) -> Column:
+    """A line's JSON, null where the line as a whole isn't JSON.
+
+    Spark's parser stops after the first value and passes over what follows,
+    so a line is read as an item ahead of its own digest, which no line can hold.
+    """
+    mark = F.sha2(value, 256)
+    pair = F.try_parse_json(F.concat(F.lit("["), value, F.lit(',"'), mark, F.lit('"]')))
+    return F.when(F.try_variant_get(pair, "$[1]", "string") == mark, F.try_variant_get(pair, "$[0]", "variant"))
+
+
 def parse(raw: DataFrame) -> DataFrame:
     """(value, doc): blank lines left out, doc the parsed JSON or null where a line isn't JSON."""
-    return raw.where(~F.col("value").rlike(r"^\s*$")).select("value", F.try_parse_json("value").alias("doc"))
+    return raw.where(~F.col("value").rlike(BLANK)).select("value", whole_json(F.col("value")).alias("doc"))
 
 
 def documents(raw: DataFrame) -> DataFrame:
@@ -33,10 +48,10 @@ def rejects(raw: DataFrame) -> DataFrame:
     return parse(raw).where("doc is null").select("value")
 
 
-def counters(raw: DataFrame) -> DataFrame:
-    """One row: documents, malformed, blank."""
-    blank = F.col("value").rlike(r"^\s*$")
-    bad = F.try_parse_json("value").isNull()
+def counters(raw: DataFrame, blank: str = BLANK) -> DataFrame:
+    """One row: documents, malformed, blank, which is what lines of a pattern are."""
+    blank = F.col("value").rlike(blank)
+    bad = whole_json(F.col("value")).isNull()
     return raw.agg(F.count_if(~blank & ~bad).alias("documents"), F.count_if(~blank & bad).alias("malformed"), F.count_if(blank).alias("blank"))
 
 

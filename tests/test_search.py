@@ -136,6 +136,29 @@ def test_jsonl(spark, tmp_path):
     assert rows == [(0, "Test Doc", "search engine test"), (1, None, "plain"), (2, None, None)]
 
 
+def test_lines_are_json_as_a_whole(spark, tmp_path):
+    bad = ["1 2", "4451718024887799 27.65.93.188", '"a" b', '{"a":1} x', "[1]]", "1,2", "1], [2", '"a', "\\"]
+    good = ["1", " [1] ", "null", '"a"', '{"a": [1, {}]}']
+    raw = jsonl.from_lines(spark, bad + good)
+    assert jsonl.counters(raw).first().asDict() == {"documents": len(good), "malformed": len(bad), "blank": 0}
+    assert [r.value for r in jsonl.rejects(raw).collect()] == bad
+    assert [r.d for r in jsonl.documents(raw).select(F.to_json("doc").alias("d")).collect()] == ["1", "[1]", "null", '"a"', '{"a":[1,{}]}']
+
+
+def test_ingest_rejects_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    from quillspark.plans import catalogue
+
+    texts = ["1 2", "x", "[1]", "\n", "\t ", " ", "\u00a0", "", None]
+    rows = [(5 * k + 2, "s", t) for k, t in enumerate(texts)] + [(0, "s", "a"), (1, "s", "b"), (3, "s", 'c"'), (4, None, None)]
+    spark.createDataFrame(rows, "doc_id bigint, source string, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(catalogue.oracle_sql()["ingest_rejects"]).fetchall()
+    assert [tuple(r) for r in catalogue.queries()["ingest_rejects"](spark, str(tmp_path)).collect()] == want
+
+
 def test_stream(spark, tmp_path):
     path = str(tmp_path / "index")
     a = jsonl.from_lines(spark, ['{"body": "rust programming"}', '{"body": "rust web"}'])

@@ -13,6 +13,8 @@ SEGMENT_DOCS = 500_000
 BLOCK_POSTINGS = 128
 #: Folders that the postings and terms of a written index lie in, by a hash of the term.
 BUCKETS = 16
+#: Neighbouring segments whose documents share a folder of a written index, and how many such folders there are at most.
+FOLDER_SEGMENTS, FOLDERS = 64, 64
 #: Rows of a table that is broadcast by hint, at most.
 BROADCAST_ROWS = 500_000
 
@@ -48,6 +50,11 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def folder(segment_id: Column) -> Column:
+    """The folder of a segment's documents: there are no more of them however many segments there are."""
+    return F.pmod(F.floor(segment_id / FOLDER_SEGMENTS), F.lit(FOLDERS)).cast("int")
+
+
 def segments_of(docs: DataFrame, terms: DataFrame | None) -> DataFrame:
     """Statistics of each segment; documents without terms count."""
     out = docs.groupBy("segment_id").agg(
@@ -73,6 +80,25 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+def counted(df: DataFrame) -> DataFrame:
+    """df, whose rows have sorted terms ``t``, with a row ``run``(term, first, next) for each run of equal ones in its place.
+
+    Only the places where runs begin take a function of each element; the rest
+    is compiled code.
+    """
+    places = F.when(F.size("t") > 0, F.sequence(F.lit(0), F.greatest(F.size("t"), F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
+    first = F.filter(places, lambda i: ~F.get("t", i).eqNullSafe(F.get("t", i - 1)))
+    rest = [c for c in df.columns if c != "t"]
+    held = df.select(*rest, F.array_distinct("t").alias("d"), first.alias("f"), F.size("t").alias("n"))
+    runs = F.arrays_zip(F.col("d").alias("term"), F.col("f").alias("first"), F.slice(F.concat("f", F.array("n")), 2, 1 << 30).alias("next"))
+    return held.select(*rest, F.explode(runs).alias("run"))
+
+
+def tf_of(run: str) -> Column:
+    """How often a run's term occurs."""
+    return F.col(f"{run}.next") - F.col(f"{run}.first")
+
+
 def build(df: DataFrame, fields: list[str], key: str = "doc_id", segment_docs: int = SEGMENT_DOCS) -> Index:
     """An index over the fields of df, lazily.
 
@@ -86,12 +112,7 @@ def build(df: DataFrame, fields: list[str], key: str = "doc_id", segment_docs: i
     held = base.withColumn("__t", analyzer.field_tokens(fields)).withColumn("dl", F.size("__t")).withColumn("norm", norm).withColumn("ndl", scoring.decode_length(F.col("norm")))
     stored = [c for c in df.columns if c not in ("doc_id", "segment_id", "dl", "norm", "ndl")]
     docs = held.select("segment_id", "doc_id", "dl", "norm", "ndl", *(F.col(f"`{c}`") for c in stored))
-    sorted_terms = held.select("segment_id", "doc_id", "dl", "ndl", F.sort_array("__t").alias("t"))
-    places = F.when(F.col("dl") > 0, F.sequence(F.lit(1), F.greatest("dl", F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    first = F.filter(places, lambda i: (i == 1) | (F.element_at("t", i) != F.element_at("t", F.greatest(i - 1, F.lit(1)))))
-    runs = sorted_terms.select("segment_id", "doc_id", "dl", "ndl", "t", first.alias("f"))
-    each = F.transform("f", lambda i, k: F.struct(F.element_at("t", i).alias("term"), (F.coalesce(F.get("f", k + 1), F.col("dl") + 1) - i).cast("int").alias("tf")))
-    postings = runs.select("segment_id", "doc_id", "ndl", F.inline(each)).select("segment_id", "term", "doc_id", "tf", "ndl")
+    postings = counted(held.select("segment_id", "doc_id", "ndl", F.sort_array("__t").alias("t"))).select("segment_id", F.col("run.term"), "doc_id", tf_of("run").alias("tf"), "ndl")
     terms = terms_of(postings)
     return Index(docs, postings, terms, segments_of(docs, None))
 
@@ -99,17 +120,20 @@ def build(df: DataFrame, fields: list[str], key: str = "doc_id", segment_docs: i
 def put(index: Index, path: str, mode: str, above: int = -1) -> None:
     """Write docs and postings of an index, and terms and segments of those above a number from what was written.
 
-    A segment's postings go to a folder by a hash of their term, sorted by
-    term: one shuffle, in which no term is larger than its segment.  Segments
-    come last: what has no row there is in no search.
+    Documents stay in their tasks, which write a file for each folder that
+    their segments are in: files grow with the tasks, not with the segments.
+
+    Postings go to a folder by a hash of their term, sorted by term within
+    their task, which nothing leaves.  Segments come last: what has no row
+    there is in no search.
     """
     spark = index.spark
     written = lambda t: spark.read.parquet(f"{path}/{t}").withColumn("segment_id", F.col("segment_id").cast("bigint")).where(F.col("segment_id") > above)
-    index.docs.write.mode(mode).partitionBy("segment_id").parquet(f"{path}/docs")
+    index.docs.withColumn("__folder", folder(F.col("segment_id"))).write.mode(mode).partitionBy("__folder").parquet(f"{path}/docs")
     named = index.postings.withColumn("bucket", bucket(F.col("term")))
-    named.repartition("segment_id", "bucket").sortWithinPartitions("bucket", "segment_id", "term", "doc_id").write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
-    terms = terms_of(written("postings")).withColumn("bucket", bucket(F.col("term")))
-    terms.repartition("segment_id", "bucket").sortWithinPartitions("bucket", "segment_id", "term").write.mode(mode).partitionBy("bucket").parquet(f"{path}/terms")
+    named.sortWithinPartitions("bucket", "segment_id", "term", "doc_id").write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
+    terms = written("postings").groupBy("segment_id", "bucket", "term").agg(F.count("*").alias("df")).select("segment_id", "term", "df", "bucket")
+    terms.sortWithinPartitions("bucket", "segment_id", "term").write.mode(mode).partitionBy("bucket").parquet(f"{path}/terms")
     segments_of(written("docs"), written("terms")).coalesce(1).write.mode(mode).parquet(f"{path}/segments")
 
 
@@ -196,7 +220,7 @@ def merge(index: Index) -> Index:
         out = df.join(base, "segment_id").withColumn("doc_id", F.col("doc_id") - F.col("min_doc_id") + F.col("__base")).withColumn("segment_id", F.lit(0).cast("bigint"))
         return out.select(*(F.col(f"`{c}`") for c in order))
 
-    docs, postings = moved(index.docs), moved(index.postings.drop("bucket"))
+    docs, postings = moved(index.docs.drop("__folder")), moved(index.postings.drop("bucket"))
     terms = index.terms.groupBy("term").agg(F.sum("df").cast("bigint").alias("df")).select(F.lit(0).cast("bigint").alias("segment_id"), "term", "df")
     return Index(docs, postings, terms, segments_of(docs, None))
 

@@ -38,10 +38,13 @@ def ranked(index: Index, query: str, limit: int = 10, offset: int = 0, compat: b
 
 
 def _fetched(index: Index, page: DataFrame, limit: int, offset: int) -> DataFrame:
-    """A page with ranks and stored columns: its rows go to the documents, which stay where they are and are read in its segments alone."""
+    """A page with ranks and stored columns: its rows go to the documents, which stay where they are and are read in its segments' folders alone."""
+    keys = ["segment_id", "doc_id"]
+    if "__folder" in index.docs.columns:
+        page, keys = page.withColumn("__folder", indexing.folder(F.col("segment_id"))), ["__folder", *keys]
     page = F.broadcast(page) if limit <= PAGE_ROWS else page
-    found = index.docs.drop("dl", "norm", "ndl").join(page, ["segment_id", "doc_id"])
-    rest = [c for c in index.docs.columns if c not in ("segment_id", "doc_id", "dl", "norm", "ndl")]
+    found = index.docs.drop("dl", "norm", "ndl").join(page, keys)
+    rest = [c for c in index.docs.columns if c not in ("__folder", "segment_id", "doc_id", "dl", "norm", "ndl")]
     place = F.row_number().over(indexing.Window.orderBy(F.desc("score"), "doc_id")) + F.lit(offset)
     return found.select(place.alias("rank"), "doc_id", "score", *(F.col(f"`{c}`") for c in rest))
 

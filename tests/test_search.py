@@ -334,6 +334,23 @@ def test_plans_of_a_written_index(spark, tmp_path):
     assert "SortMergeJoin" not in plan and "BuildLeft" not in plan and "PartitionFilters" in plan and "bucket#" in plan
 
 
+def test_files_of_a_written_index(spark, tmp_path):
+    """Files grow with the tasks that write them, not with the segments."""
+    docs = [(f"common other w{i}",) for i in range(1500)]
+    lazily = index_of(spark, docs, ("body",), segment_docs=5)
+    index = indexing.write(lazily, str(tmp_path / "index"))
+    files = len(list((tmp_path / "index" / "docs").rglob("*.parquet")))
+    assert files <= lazily.docs.rdd.getNumPartitions() * 5  # of 300 segments, 64 to a folder
+    assert len(list((tmp_path / "index" / "postings").rglob("*.parquet"))) <= lazily.docs.rdd.getNumPartitions() * indexing.BUCKETS
+    assert index.segments.count() == 300 and found(index, "w7 OR w1400") == found(lazily, "w7 OR w1400")
+    assert [h.body for h in search.hits(index, "w1400").collect()] == ["common other w1400"]
+    plan = search.hits(index, "w1400")._jdf.queryExecution().optimizedPlan().toString()
+    assert "dynamicpruning" in plan and "__folder" in plan
+    merged = indexing.merge_in_place(spark, str(tmp_path / "index"))
+    assert merged.segment_count == 1 and "__folder" not in search.hits(merged, "w1400").columns
+    assert [h.body for h in search.hits(merged, "w1400").collect()] == ["common other w1400"]
+
+
 def test_codecs(spark):
     values = [0, 1, 127, 128, 300, 16383, 16384, 2097151, 2097152, 268435455, 268435456, (1 << 32) - 1]
     df = spark.createDataFrame([(values,), ([],)], "v array<bigint>")

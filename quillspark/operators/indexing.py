@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import analyzer, scoring
+from quillspark.sources.shared import kept
 
 SEGMENT_DOCS = 500_000
 BLOCK_POSTINGS = 128
@@ -22,7 +23,8 @@ BROADCAST_ROWS = 500_000
 @dataclass
 class Index:
     """docs(segment_id, doc_id, dl, norm, ndl, ...stored), postings(segment_id, term, doc_id, tf, ndl),
-    terms(segment_id, term, df), segments(segment_id, doc_count, total_tokens, avgdl, min_doc_id, max_doc_id, term_count)."""
+    terms(segment_id, term, df), segments(segment_id, doc_count, total_tokens, avgdl, min_doc_id, max_doc_id, term_count);
+    of an index that isn't written also tokens(segment_id, doc_id, dl, ndl, t)."""
 
     docs: DataFrame
     postings: DataFrame
@@ -30,6 +32,7 @@ class Index:
     segments: DataFrame
     path: str | None = None
     segment_count: int | None = None
+    tokens: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -40,6 +43,20 @@ class Index:
         here = table.where(F.col("term").isin(words))
         return here.where(F.col("bucket").isin(*(bucket(F.lit(w)) for w in words))) if self.path and words else here
 
+    def only(self, words: list[str]) -> Index:
+        """The index of the words alone.
+
+        Of an index that isn't written the texts are read once: a row for each
+        document, with its length and its runs of these words, is kept, and
+        postings, terms and segments come from that.
+        """
+        if self.tokens is None or not words:
+            return self
+        held = F.sort_array(F.filter("t", lambda x: x.isin(sorted(set(words)))))
+        rows = kept(with_runs(self.tokens.select("segment_id", "doc_id", "dl", "ndl", held.alias("t"))))
+        postings = rows.select("segment_id", "doc_id", "ndl", F.explode("runs").alias("run")).select("segment_id", F.col("run.term"), "doc_id", tf_of("run").alias("tf"), "ndl")
+        return Index(self.docs, postings, terms_of(postings), segments_of(rows, None))
+
     def small(self, rows_a_segment: int) -> bool:
         """Whether a table of so many rows a segment is known to be small enough for a broadcast."""
         return self.segment_count is not None and self.segment_count * rows_a_segment <= BROADCAST_ROWS
@@ -80,8 +97,8 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
-def counted(df: DataFrame) -> DataFrame:
-    """df, whose rows have sorted terms ``t``, with a row ``run``(term, first, next) for each run of equal ones in its place.
+def with_runs(df: DataFrame) -> DataFrame:
+    """df, whose rows have sorted terms ``t``, with ``runs`` of equal ones, each (term, first, next), in its place.
 
     Only the places where runs begin take a function of each element; the rest
     is compiled code.
@@ -91,7 +108,7 @@ def counted(df: DataFrame) -> DataFrame:
     rest = [c for c in df.columns if c != "t"]
     held = df.select(*rest, F.array_distinct("t").alias("d"), first.alias("f"), F.size("t").alias("n"))
     runs = F.arrays_zip(F.col("d").alias("term"), F.col("f").alias("first"), F.slice(F.concat("f", F.array("n")), 2, 1 << 30).alias("next"))
-    return held.select(*rest, F.explode(runs).alias("run"))
+    return held.select(*rest, runs.alias("runs"))
 
 
 def tf_of(run: str) -> Column:
@@ -112,9 +129,11 @@ def build(df: DataFrame, fields: list[str], key: str = "doc_id", segment_docs: i
     held = base.withColumn("__t", analyzer.field_tokens(fields)).withColumn("dl", F.size("__t")).withColumn("norm", norm).withColumn("ndl", scoring.decode_length(F.col("norm")))
     stored = [c for c in df.columns if c not in ("doc_id", "segment_id", "dl", "norm", "ndl")]
     docs = held.select("segment_id", "doc_id", "dl", "norm", "ndl", *(F.col(f"`{c}`") for c in stored))
-    postings = counted(held.select("segment_id", "doc_id", "ndl", F.sort_array("__t").alias("t"))).select("segment_id", F.col("run.term"), "doc_id", tf_of("run").alias("tf"), "ndl")
+    tokens = held.select("segment_id", "doc_id", "dl", "ndl", F.col("__t").alias("t"))
+    runs = with_runs(tokens.select("segment_id", "doc_id", "ndl", F.sort_array("t").alias("t")))
+    postings = runs.select("segment_id", "doc_id", "ndl", F.explode("runs").alias("run")).select("segment_id", F.col("run.term"), "doc_id", tf_of("run").alias("tf"), "ndl")
     terms = terms_of(postings)
-    return Index(docs, postings, terms, segments_of(docs, None))
+    return Index(docs, postings, terms, segments_of(docs, None), tokens=tokens)
 
 
 def put(index: Index, path: str, mode: str, above: int = -1) -> None:
@@ -240,6 +259,7 @@ def dictionary(index: Index) -> DataFrame:
 
 def seek(index: Index, term: str, target: int) -> DataFrame:
     """One row: the first document of at least target that holds the term."""
+    index = index.only([term])
     return index.of(index.postings, [term]).where(F.col("doc_id") >= target).agg(F.min("doc_id").alias("doc_id"))
 
 

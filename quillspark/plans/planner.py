@@ -72,6 +72,7 @@ def compile_query(index: Index, query: Query, k: int, compat: bool = False) -> D
     """
     if isinstance(query, Not):
         raise QueryError("NOT must be combined with AND")
+    index = index.only(all_words(query))
     scored = weighted_postings(index, all_words(query))
 
     def run(q: Query) -> DataFrame:
@@ -118,6 +119,7 @@ def estimate(index: Index, query: Query) -> DataFrame:
     NOT excludes isn't counted.
     """
     words = sorted(set(all_words(query)))
+    index = index.only(words)
     counts = index.of(index.terms, words).agg(*(F.coalesce(F.sum(F.when(F.col("term") == w, F.col("df"))), F.lit(0)).cast("bigint").alias(f"w{k}") for k, w in enumerate(words)))
 
     def bound(q: Query) -> F.Column:

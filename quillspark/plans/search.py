@@ -78,7 +78,8 @@ def batch(index: Index, queries: Mapping[int, str], limit: int = 10) -> DataFram
             raise ValueError("a batch takes words joined by OR")
         rows += [(i, w) for w in words_of(tree)]
     asked = index.spark.createDataFrame(rows, "query_id long, term string").groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    scored = weighted_postings(index, [w for _, w in rows]).where("not common")
+    words = [w for _, w in rows]
+    scored = weighted_postings(index.only(words), words).where("not common")
     found = scored.join(asked, "term").groupBy("query_id", "doc_id").agg(scoring.total(F.col("score") * F.col("times")).alias("score"))
     best = F.row_number().over(indexing.Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= limit).select("query_id", "rank", "doc_id", "score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,3 +21,11 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir is unset: it has to name a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), "quillspark-checkpoints")
     return folder
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder now, so that what reads it several times doesn't work it out again."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)

@@ -351,6 +351,33 @@ def test_files_of_a_written_index(spark, tmp_path):
     assert [h.body for h in search.hits(merged, "w1400").collect()] == ["common other w1400"]
 
 
+@pytest.mark.parametrize("query", ["a NOT the", "a NOT (b c)", "c OR (a b)", "(b OR c) a", "a b c", "a OR b OR c"])
+def test_texts_are_read_once(spark, query):
+    """A search without a written index splits each text once, however often its words take part."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    rng = random.Random(3)
+    docs = [" ".join(rng.choices(["a", "b", "c", "d", "the"], k=rng.randint(0, 6))) for _ in range(40)]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "doc_id bigint, body string").mapInArrow(counting, "doc_id bigint, body string")
+    got = found(indexing.build(df, ["body"]), query, limit=100)
+    assert reads.value == 40
+    want = brute(docs, query)
+    assert {i for i, _ in got} == set(want) and all(abs(s - want[i]) < 2e-5 for i, s in got)
+
+
+def test_batch_and_estimate_read_once(spark):
+    from quillspark.plans.planner import estimate
+
+    index = index_of(spark, E2E)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (search.batch(index, {1: "rust OR web"}), estimate(index, parse("rust web")), indexing.seek(index, "rust", 1))]
+    assert all("split(" not in p for p in plans)
+
+
 def test_codecs(spark):
     values = [0, 1, 127, 128, 300, 16383, 16384, 2097151, 2097152, 268435455, 268435456, (1 << 32) - 1]
     df = spark.createDataFrame([(values,), ([],)], "v array<bigint>")

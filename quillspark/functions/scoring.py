@@ -44,31 +44,40 @@ def vbyte_size(value: Column) -> Column:
     return F.when(value < 128, 1).when(value < 16384, 2).when(value < 2097152, 3).when(value < 268435456, 4).otherwise(5)
 
 
-def vbyte(value: Column) -> Column:
-    """A number below 2**35 as bytes of seven bits, the lowest first; the last one has its high bit set."""
+def vbyte_hex(value: Column) -> Column:
+    """A number below 2**35 as hexadecimal bytes of seven bits, the lowest first; the last one has its high bit set."""
+
+    def whole(size: int) -> Column:
+        """The bytes of a number of so many as one number."""
+        out = F.lit(128).cast("bigint")
+        for k in range(size):
+            out = out + F.shiftleft(F.shiftright(value, 7 * k).bitwiseAND(F.lit(127)), 8 * (size - 1 - k))
+        return F.lpad(F.hex(out), 2 * size, "0")
+
+    value = value.cast("bigint")
     size = vbyte_size(value)
-    seven = lambda k: F.shiftright(value, 7 * k).bitwiseAND(F.lit(127))
-    parts = [F.when(size > k, F.lpad(F.hex(F.when(size == k + 1, seven(k) + 128).otherwise(seven(k))), 2, "0")).otherwise("") for k in range(5)]
-    return F.unhex(F.concat(*parts))
+    out = F.when(size == 1, whole(1))
+    for k in range(2, 5):
+        out = out.when(size == k, whole(k))
+    return out.otherwise(whole(5))
+
+
+def vbyte(value: Column) -> Column:
+    """A number below 2**35 as bytes."""
+    return F.unhex(vbyte_hex(value))
 
 
 def vbyte_numbers(data: Column) -> Column:
     """The numbers that bytes written one after the other stand for."""
-    byte = lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("bigint")
-    start = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(0).cast("bigint").alias("value"), F.lit(0).alias("bits"))
-
-    def step(held: Column, i: Column) -> Column:
-        b = byte(i)
-        value = held["value"] + F.call_function("shiftleft", b.bitwiseAND(F.lit(127)), held["bits"])
-        last = b >= 128
-        return F.struct(
-            F.when(last, F.concat(held["done"], F.array(value))).otherwise(held["done"]).alias("done"),
-            F.when(last, F.lit(0).cast("bigint")).otherwise(value).alias("value"),
-            F.when(last, F.lit(0)).otherwise(held["bits"] + 7).alias("bits"),
-        )
-
-    places = F.when(F.octet_length(data) > 0, F.sequence(F.lit(1), F.octet_length(data))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, start, step, lambda held: held["done"])
+
+    def number(digits: Column) -> Column:
+        whole, size = F.conv(digits, 16, 10).cast("bigint"), F.length(digits) / 2
+        seven = lambda k: F.shiftright(whole, 8 * k).bitwiseAND(F.lit(127))
+        # the byte of the lowest bits comes first
+        of = lambda n: sum((F.shiftleft(seven(n - 1 - k), 7 * k) for k in range(1, n)), seven(n - 1))
+        return F.when(size == 1, of(1)).when(size == 2, of(2)).when(size == 3, of(3)).when(size == 4, of(4)).otherwise(of(5))
+
+    return F.transform(F.regexp_extract_all(F.hex(data), F.lit("(?:[0-7][0-9A-F])*+[89A-F][0-9A-F]"), F.lit(0)), number)
 
 
 def total(score: Column) -> Column:

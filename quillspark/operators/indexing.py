@@ -97,18 +97,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
-def with_runs(df: DataFrame) -> DataFrame:
-    """df, whose rows have sorted terms ``t``, with ``runs`` of equal ones, each (term, first, next), in its place.
+def with_runs(df: DataFrame, each: bool = False) -> DataFrame:
+    """df, whose rows have sorted terms ``t``, with ``runs`` of equal ones, each (term, first, next), in its place, or with a row ``run`` for each.
 
     Only the places where runs begin take a function of each element; the rest
-    is compiled code.
+    is compiled code.  Rows are made of the runs' expression and not of a
+    column of it, from which Spark would infer a filter that works the terms
+    out again for each of them.
     """
     places = F.when(F.size("t") > 0, F.sequence(F.lit(0), F.greatest(F.size("t"), F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
     first = F.filter(places, lambda i: ~F.get("t", i).eqNullSafe(F.get("t", i - 1)))
     rest = [c for c in df.columns if c != "t"]
     held = df.select(*rest, F.array_distinct("t").alias("d"), first.alias("f"), F.size("t").alias("n"))
     runs = F.arrays_zip(F.col("d").alias("term"), F.col("f").alias("first"), F.slice(F.concat("f", F.array("n")), 2, 1 << 30).alias("next"))
-    return held.select(*rest, runs.alias("runs"))
+    return held.select(*rest, F.explode(runs).alias("run") if each else runs.alias("runs"))
 
 
 def tf_of(run: str) -> Column:
@@ -130,8 +132,8 @@ def build(df: DataFrame, fields: list[str], key: str = "doc_id", segment_docs: i
     stored = [c for c in df.columns if c not in ("doc_id", "segment_id", "dl", "norm", "ndl")]
     docs = held.select("segment_id", "doc_id", "dl", "norm", "ndl", *(F.col(f"`{c}`") for c in stored))
     tokens = held.select("segment_id", "doc_id", "dl", "ndl", F.col("__t").alias("t"))
-    runs = with_runs(tokens.select("segment_id", "doc_id", "ndl", F.sort_array("t").alias("t")))
-    postings = runs.select("segment_id", "doc_id", "ndl", F.explode("runs").alias("run")).select("segment_id", F.col("run.term"), "doc_id", tf_of("run").alias("tf"), "ndl")
+    runs = with_runs(tokens.select("segment_id", "doc_id", "ndl", F.sort_array("t").alias("t")), each=True)
+    postings = runs.select("segment_id", F.col("run.term"), "doc_id", tf_of("run").alias("tf"), "ndl")
     terms = terms_of(postings)
     return Index(docs, postings, terms, segments_of(docs, None), tokens=tokens)
 
@@ -309,18 +311,20 @@ def offsets(index: Index) -> DataFrame:
 def encoded(index: Index) -> DataFrame:
     """(segment_id, term, block_id, data) of each 128 postings of a term: bytes of (gap, tf), the first gap of a block from 0."""
     order = Window.partitionBy("segment_id", "term").orderBy("doc_id")
-    placed = index.postings.select("segment_id", "term", "doc_id", "tf", F.floor((F.row_number().over(order) - 1) / BLOCK_POSTINGS).cast("bigint").alias("block_id"))
-    within = Window.partitionBy("segment_id", "term", "block_id").orderBy("doc_id")
-    gap = F.col("doc_id") - F.lag("doc_id", 1, 0).over(within)
-    bytes_ = placed.select("segment_id", "term", "block_id", "doc_id", F.concat(scoring.vbyte(gap), scoring.vbyte(F.col("tf").cast("bigint"))).alias("b"))
+    place = F.row_number().over(order) - 1
+    gap = F.when(F.col("__k") % BLOCK_POSTINGS == 0, F.col("doc_id")).otherwise(F.col("doc_id") - F.col("__before"))
+    placed = index.postings.select("segment_id", "term", "doc_id", "tf", place.alias("__k"), F.lag("doc_id", 1, 0).over(order).alias("__before"))
+    digits = placed.select("segment_id", "term", F.floor(F.col("__k") / BLOCK_POSTINGS).cast("bigint").alias("block_id"), "doc_id", F.concat(scoring.vbyte_hex(gap), scoring.vbyte_hex(F.col("tf"))).alias("h"))
     # a block has 128 rows at most
-    joined = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "b"))), lambda x: F.hex(x["b"]))
-    return bytes_.groupBy("segment_id", "term", "block_id").agg(F.unhex(F.array_join(joined, "")).alias("data"))
+    joined = F.array_join(F.sort_array(F.collect_list(F.struct("doc_id", "h")))["h"], "")
+    return digits.groupBy("segment_id", "term", "block_id").agg(F.unhex(joined).alias("data"))
 
 
 def decoded(blocks_: DataFrame) -> DataFrame:
     """(segment_id, term, doc_id, tf) of encoded blocks."""
     read = blocks_.select("segment_id", "term", scoring.vbyte_numbers(F.col("data")).alias("v"))
-    each = F.transform(F.sequence(F.lit(0), F.size("v") - 2, F.lit(2)), lambda i: F.struct(F.get("v", i).alias("gap"), F.get("v", i + 1).cast("int").alias("tf"), i.alias("i")))
-    sums = F.transform(each, lambda x: F.struct(F.aggregate(F.filter(each, lambda y: y["i"] <= x["i"]), F.lit(0).cast("bigint"), lambda a, y: a + y["gap"]).alias("doc_id"), x["tf"].alias("tf")))
-    return read.select("segment_id", "term", F.inline(sums))
+    parts = read.select("segment_id", "term", F.filter("v", lambda x, i: i % 2 == 0).alias("gaps"), F.filter("v", lambda x, i: i % 2 == 1).cast("array<int>").alias("tf"))
+    # each sum is the one before and a gap; the 0 that the sums begin from goes
+    sums = F.aggregate("gaps", F.array(F.lit(0).cast("bigint")), lambda done, gap: F.array_append(done, F.element_at(done, -1) + gap))
+    each = F.arrays_zip(F.slice(sums, 2, BLOCK_POSTINGS).alias("doc_id"), F.col("tf").alias("tf"))
+    return parts.select("segment_id", "term", F.inline(each))

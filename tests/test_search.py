@@ -370,6 +370,11 @@ def test_texts_are_read_once(spark, query):
     assert {i for i, _ in got} == set(want) and all(abs(s - want[i]) < 2e-5 for i, s in got)
 
 
+def test_terms_are_worked_out_once(spark):
+    plan = index_of(spark, E2E).postings._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2 and plan.count("sort_array(") == 1  # one split for each field
+
+
 def test_batch_and_estimate_read_once(spark):
     from quillspark.plans.planner import estimate
 
@@ -388,3 +393,12 @@ def test_codecs(spark):
     index = index_of(spark, [("x" if i % 3 == 0 else "y x x",) for i in range(700)], ("body",))
     back = indexing.decoded(indexing.encoded(index))
     assert sorted(map(tuple, back.collect())) == sorted((r.segment_id, r.term, r.doc_id, r.tf) for r in index.postings.collect())
+
+
+def test_decoding_is_linear(spark):
+    """No function of an element goes over all elements: the work of a full block was cubic."""
+    index = index_of(spark, [("x",) for _ in range(300)], ("body",))
+    plan = indexing.decoded(indexing.encoded(index))._jdf.queryExecution().optimizedPlan().toString()
+    assert "<=" not in plan.split("Aggregate")[0] and plan.count("Window [") == 1
+    v = spark.createDataFrame([([3] * 9000,)], "v array<bigint>").select(F.unhex(F.array_join(F.transform("v", lambda x: F.hex(scoring.vbyte(x))), "")).alias("data"))
+    assert v.select(F.size(scoring.vbyte_numbers(F.col("data")))).first()[0] == 9000

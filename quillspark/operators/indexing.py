@@ -118,13 +118,14 @@ def tf_of(run: str) -> Column:
     return F.col(f"{run}.next") - F.col(f"{run}.first")
 
 
-def build(df: DataFrame, fields: list[str], key: str = "doc_id", segment_docs: int = SEGMENT_DOCS) -> Index:
+def build(df: DataFrame, fields: list[str], key: str = "doc_id", segment_docs: int = SEGMENT_DOCS, lengths: bool = False) -> Index:
     """An index over the fields of df, lazily.
 
     ``key`` is a dense number in order of arrival; segments are runs of
     ``segment_docs`` of them.  Terms are counted within their row: a document's
     terms are sorted, and runs of equal ones counted, so that nothing is
-    shuffled for it.
+    shuffled for it.  ``lengths`` also puts dl and norm into the postings, so
+    that what needs them has no need of a join.
     """
     norm = scoring.encode_length(F.col("dl"))
     base = spread(df).withColumn("doc_id", F.col(key).cast("bigint")).withColumn("segment_id", F.floor(F.col("doc_id") / segment_docs).cast("bigint"))
@@ -132,8 +133,9 @@ def build(df: DataFrame, fields: list[str], key: str = "doc_id", segment_docs: i
     stored = [c for c in df.columns if c not in ("doc_id", "segment_id", "dl", "norm", "ndl")]
     docs = held.select("segment_id", "doc_id", "dl", "norm", "ndl", *(F.col(f"`{c}`") for c in stored))
     tokens = held.select("segment_id", "doc_id", "dl", "ndl", F.col("__t").alias("t"))
-    runs = with_runs(tokens.select("segment_id", "doc_id", "ndl", F.sort_array("t").alias("t")), each=True)
-    postings = runs.select("segment_id", F.col("run.term"), "doc_id", tf_of("run").alias("tf"), "ndl")
+    more = ["dl", "norm"] if lengths else []
+    runs = with_runs(held.select("segment_id", "doc_id", "ndl", *more, F.sort_array("__t").alias("t")), each=True)
+    postings = runs.select("segment_id", F.col("run.term"), "doc_id", tf_of("run").alias("tf"), "ndl", *more)
     terms = terms_of(postings)
     return Index(docs, postings, terms, segments_of(docs, None), tokens=tokens)
 
@@ -273,11 +275,13 @@ def segment_of(index: Index, ids: DataFrame) -> DataFrame:
 
 def blocks(index: Index) -> DataFrame:
     """Summary of each 128 postings of a term: the last document, largest tf, smallest length and score bound."""
-    n = index.segments.agg(F.sum("doc_count").alias("n"))
-    row = F.row_number().over(Window.partitionBy("segment_id", "term").orderBy("doc_id")) - 1
-    kept = index.postings.withColumn("block_id", F.floor(row / BLOCK_POSTINGS).cast("bigint"))
-    found = kept.groupBy("segment_id", "term", "block_id").agg(F.count("*").alias("postings"), F.max("doc_id").alias("last_doc_id"), F.max("tf").alias("max_tf"), F.min(F.greatest("ndl", F.lit(1))).alias("min_dl"))
-    ranked = found.join(index.terms, ["segment_id", "term"]).join(F.broadcast(index.segments.select("segment_id", "avgdl")), "segment_id").crossJoin(F.broadcast(n))
+    terms = Window.partitionBy("segment_id", "term")
+    row = F.row_number().over(terms.orderBy("doc_id")) - 1
+    placed = index.postings.withColumn("block_id", F.floor(row / BLOCK_POSTINGS).cast("bigint"))
+    found = placed.groupBy("segment_id", "term", "block_id").agg(F.count("*").alias("postings"), F.max("doc_id").alias("last_doc_id"), F.max("tf").alias("max_tf"), F.min(F.greatest("ndl", F.lit(1))).alias("min_dl"))
+    # one row a segment; a term's documents are those of its blocks, which lie together
+    meta = index.segments.select("segment_id", "avgdl", F.sum("doc_count").over(Window.partitionBy(F.lit(0))).alias("n"))
+    ranked = found.withColumn("df", F.sum("postings").over(terms)).join(F.broadcast(meta), "segment_id")
     bound = scoring.block_bound(F.col("max_tf"), F.col("min_dl"), F.col("avgdl"), scoring.idf(F.col("df"), F.col("n")))
     return ranked.select("segment_id", "term", "block_id", "postings", "last_doc_id", "max_tf", "min_dl", F.round(bound, 6).alias("max_score"))
 

@@ -402,3 +402,12 @@ def test_decoding_is_linear(spark):
     assert "<=" not in plan.split("Aggregate")[0] and plan.count("Window [") == 1
     v = spark.createDataFrame([([3] * 9000,)], "v array<bigint>").select(F.unhex(F.array_join(F.transform("v", lambda x: F.hex(scoring.vbyte(x))), "")).alias("data"))
     assert v.select(F.size(scoring.vbyte_numbers(F.col("data")))).first()[0] == 9000
+
+
+def test_terms_are_not_worked_out_again(spark):
+    from quillspark.plans import catalogue
+
+    index = index_of(spark, [("a b",), ("a",), ("b c",), ("c",)], ("body",), segment_docs=2)
+    splits = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("split(")
+    assert splits(indexing.blocks(index)) == 2  # postings, and lengths for the segments
+    assert splits(catalogue.queries()["merge_equals_single"](spark, "/root/testdata/sf0.001")) == 1  # counting documents needs no terms
